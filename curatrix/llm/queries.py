@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality
+from . import common, mixing, pieces, quality, store
 from .common import documents
 
 
@@ -16,6 +16,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_path(spark, "store")
+    store.write(documents(spark, sf_dir), path)
+    store.verify(spark, path)
+    return store.read(spark, path)
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir))
 
@@ -26,6 +33,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_store": op4_token_store,
     "op5_pieces": op5_pieces,
     "op9_mixing": op9_mixing,
 }
