@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, pieces, pii, quality, secrets, store
+from . import common, mixing, pieces, pii, quality, secrets, store, toxicity
 from .common import documents
 
 
@@ -31,6 +31,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("passages")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.spans(documents(spark, sf_dir)))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_store": op4_token_store,
     "op5_pieces": op5_pieces,
+    "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
 }
