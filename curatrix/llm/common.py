@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.sources.tables import discard, materialize, shared_path  # noqa: F401
+
 #: A word is a run of anything but these characters: blank, tab, newline, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
@@ -20,47 +19,6 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="curatrix-"))
-        held = sc._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/curatrix/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so that its lineage ends there."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.curatrix_path = path
-    return back
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes tables of materialize() that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "curatrix_path", None)
-        if path:
-            spark = df.sparkSession
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def words(text: Column) -> Column:
     """The words of a text; null counts as empty."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, neighbours, pieces, pii, quality, secrets, store, toxicity
+from . import common, minhash, mixing, neighbours, pieces, pii, quality, secrets, store, toxicity
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(documents(spark, sf_dir)))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.rules(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,6 +53,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_store": op4_token_store,
     "op5_pieces": op5_pieces,
