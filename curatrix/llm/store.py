@@ -10,7 +10,7 @@ Files, all Parquet, under one folder:
 * ``segments``: one file a segment, documents in ascending order of doc_id across segments.  A row
   has the document's leaf (digest of its chunks' addresses and length), its place in the segment,
   its number of ids, and, for the first document of a leaf, its recipe (addresses and lengths) with a pack:
-  the chunks that it owns, as little-endian unsigned integers, compressed.
+  the chunks that it owns, as little-endian unsigned integers of 16 or 32 bits, compressed.
 * The last row of a segment is its manifest: number of documents and of ids, and the Merkle root of its leaves.
 
 Reading gives every document's ids back: packs and chunks owned by others are put together by
@@ -81,21 +81,31 @@ class Encoder(dict):
 
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, token: str) -> bytes:
-        found = self.older.pop(token, None) or self.ids(token)
-        if len(token) <= 64:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[token] = found
-        return found
+    def learn(self, tokens: list[str]) -> None:
+        """Remembers the ids of pretokens, those from before or else the library's, encoded together."""
+        import numpy as np
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.odd(text):
-            return self.ids(text)
-        return b"".join(map(self.__getitem__, self.cut(text)))
+        if len(self) + len(tokens) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        new = []
+        for token in tokens:
+            found = self.older.get(token)
+            if found is None:
+                new.append(token)
+            else:
+                self[token] = found
+        for token, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self[token] = np.asarray(found.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of some texts."""
+        cut = [None if not t or self.odd(t) else self.cut(t) for t in texts]
+        need = {token for tokens in cut if tokens for token in tokens}
+        # if the older ones leave, those that these texts need come back at once
+        while missing := [token for token in need if token not in self]:
+            self.learn(missing)
+        return [(self.ids(t) if t else b"") if tokens is None else b"".join(map(self.__getitem__, tokens)) for t, tokens in zip(texts, cut)]
 
 
 @lru_cache(maxsize=2)
@@ -143,6 +153,20 @@ def cuts(ids) -> list[int]:
     return out
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Ids as a pack holds them: 16 bits each behind the byte 2 where all fit, else 32 bits each behind the byte 4."""
+    import numpy as np
+
+    x = np.frombuffer(ids, "<u4")
+    return b"\2" + x.astype("<u2").tobytes() if not len(x) or x.max() < 2**16 else b"\4" + ids
+
+
+def _wide(pack: bytes) -> bytes:
+    import numpy as np
+
+    return np.frombuffer(pack, "<u2", offset=1).astype("<u4").tobytes() if pack[0] == 2 else pack[1:]
+
+
 def address(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=ADDRESS).digest()
 
@@ -182,19 +206,19 @@ def _encoded(docs: DataFrame, doc_id: str, text: str, model: str, end: int) -> D
         import pyarrow as pa
         import zstandard
 
-        enc, pack = encoder(model), zstandard.ZstdCompressor(level=1)
+        enc, pack = encoder(model), zstandard.ZstdCompressor(level=3)
         tail = np.asarray([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for t in part.column(1).to_pylist():
-                    raw = enc.encode(t) + tail
+                for raw in enc.encode(part.column(1).to_pylist()):
+                    raw += tail
                     ends = cuts(np.frombuffer(raw, "<u4"))
                     starts = [0, *ends[:-1]]
                     addresses = b"".join(address(raw[4 * a : 4 * b]) for a, b in zip(starts, ends))
                     n = len(raw) // 4
-                    rows.append((leaf(addresses, n), n, addresses, [b - a for a, b in zip(starts, ends)], pack.compress(raw)))
+                    rows.append((leaf(addresses, n), n, addresses, [b - a for a, b in zip(starts, ends)], pack.compress(_narrow(raw))))
                 kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary())
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "leaf", "n", "addresses", "lens", "ids"])
@@ -239,6 +263,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     dealt = both.repartitionByRange(segments or C.parallelism(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf", "kind")
 
     def run(batches):
+        import numpy as np
         import zstandard
         from pyspark import TaskContext
 
@@ -260,14 +285,12 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
                     row = {"doc_id": r["doc_id"], "leaf": r["leaf"], "segment": segment, "place": place, "n": r["n"]}
                     if first and not done:
                         done = True
-                        raw, own, held, b = unpack.decompress(r["ids"]), [], [], 0
-                        for k, size in enumerate(r["lens"]):
-                            u = uses.get(k)
-                            own.append(u is None or u["own"])
-                            if own[-1]:
-                                held.append(raw[4 * b : 4 * (b + size)])
-                            b += size
-                        row |= {"addresses": r["addresses"], "lens": r["lens"], "own": own, "pack": pack.compress(b"".join(held))}
+                        own = [(u := uses.get(k)) is None or u["own"] for k in range(len(r["lens"]))]
+                        held = r["ids"]
+                        if not all(own):
+                            raw, ends = _wide(unpack.decompress(held)), np.cumsum([0, *r["lens"]]).tolist()
+                            held = pack.compress(_narrow(b"".join(raw[4 * a : 4 * b] for o, a, b in zip(own, ends, ends[1:]) if o)))
+                        row |= {"addresses": r["addresses"], "lens": r["lens"], "own": own, "pack": held}
                         row["uses"] = [u["uses"] if (u := uses.get(k)) else 1 for k in range(len(own))]
                     tree.add(r["leaf"])
                     place += r["n"]
@@ -336,7 +359,7 @@ def read(spark: SparkSession, path: str, keep: bool = False) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 out = []
                 for r in batch.slice(at, 200).to_pylist():
-                    raw, b = unpack.decompress(r["pack"]), 0
+                    raw, b = _wide(unpack.decompress(r["pack"])), 0
                     whole = all(r["own"])
                     for k, (size, own, uses) in enumerate(zip(r["lens"], r["own"], r["uses"])):
                         a, held = r["addresses"][ADDRESS * k : ADDRESS * (k + 1)], None
