@@ -85,9 +85,6 @@ class Encoder(dict):
         """Remembers the ids of pretokens, those from before or else the library's, encoded together."""
         import numpy as np
 
-        if len(self) + len(tokens) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
         new = []
         for token in tokens:
             found = self.older.get(token)
@@ -102,9 +99,12 @@ class Encoder(dict):
         """The ids of some texts."""
         cut = [None if not t or self.odd(t) else self.cut(t) for t in texts]
         need = {token for tokens in cut if tokens for token in tokens}
-        # if the older ones leave, those that these texts need come back at once
-        while missing := [token for token in need if token not in self]:
-            self.learn(missing)
+        missing = [token for token in need if token not in self]
+        if len(self) + len(missing) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+            missing = list(need)
+        self.learn(missing)
         return [(self.ids(t) if t else b"") if tokens is None else b"".join(map(self.__getitem__, tokens)) for t, tokens in zip(texts, cut)]
 
 
