@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, minhash, mixing, neighbours, pieces, pii, quality, secrets, store, toxicity
+from . import common, lines, minhash, mixing, neighbours, pieces, pii, quality, secrets, store, toxicity
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("passages")
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_store": op4_token_store,
     "op5_pieces": op5_pieces,
+    "op6_lines": op6_lines,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
