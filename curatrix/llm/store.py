@@ -24,9 +24,11 @@ table only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,7 @@ from . import common as C
 MODEL = "byte_bpe_50k.json"
 END = 0
 #: A chunk ends where the hash of the last ``SEEN`` ids is 0 modulo ``MEAN``, but not before LEAST ids and at MOST ids at the latest.
-SEEN, MEAN, LEAST, MOST = 8, 256, 64, 2048
+SEEN, MEAN, LEAST, MOST = 8, 512, 128, 4096
 #: Pretokens whose ids a worker remembers; as many again are kept from before.
 REMEMBERED = 300_000
 #: Uses of a chunk for each copy of it that is dealt out on reading.
@@ -66,25 +68,26 @@ class Encoder(dict):
     """
 
     def __init__(self, model: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(model)
         self.tokenizer.encode_special_tokens = True
+        # for texts that are one pretoken each: the same tokenizer without the cutting
+        self.plain = Tokenizer.from_file(model)
+        self.plain.encode_special_tokens = True
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.older: dict[str, bytes] = {}
         letters, digits = _class("L"), _class("N")
         self.cut = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{digits}]+| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+").findall
         self.odd = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]").search
 
     def ids(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, tokens: list[str]) -> None:
         """Remembers the ids of pretokens, those from before or else the library's, encoded together."""
-        import numpy as np
-
         new = []
         for token in tokens:
             found = self.older.get(token)
@@ -92,19 +95,19 @@ class Encoder(dict):
                 new.append(token)
             else:
                 self[token] = found
-        for token, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[token] = np.asarray(found.ids, "<u4").tobytes()
+        for token, found in zip(new, self.plain.encode_batch_fast(new, add_special_tokens=False)):
+            self[token] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of some texts."""
         cut = [None if not t or self.odd(t) else self.cut(t) for t in texts]
-        need = {token for tokens in cut if tokens for token in tokens}
-        missing = [token for token in need if token not in self]
+        need = set().union(*[tokens for tokens in cut if tokens])
+        missing = need - self.keys()
         if len(self) + len(missing) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-            missing = list(need)
-        self.learn(missing)
+            missing = need
+        self.learn(list(missing))
         return [(self.ids(t) if t else b"") if tokens is None else b"".join(map(self.__getitem__, tokens)) for t, tokens in zip(texts, cut)]
 
 
@@ -172,7 +175,7 @@ def address(chunk: bytes) -> bytes:
 
 
 def leaf(addresses: bytes, n: int) -> bytes:
-    return hashlib.sha256(b"\0" + n.to_bytes(8, "little") + addresses).digest()
+    return hashlib.blake2b(b"\0" + n.to_bytes(8, "little") + addresses, digest_size=ADDRESS).digest()
 
 
 class Merkle:
