@@ -165,12 +165,12 @@ _U64 = "('0x' || {x})::UBIGINT"
 _SIGNED = "CASE WHEN {x} >= 9223372036854775808 THEN ({x}::HUGEINT - 18446744073709551616)::BIGINT ELSE {x}::BIGINT END"
 
 
-@query(f"SELECT id, {_SIGNED.format(x=_U64.format(x='substr(exact_hash, 1, 16)'))} AS phash_value FROM doc_items UNION ALL SELECT -id, NULL FROM doc_items WHERE id % 2 = 0")
+@query(f"SELECT id, {_SIGNED.format(x=_U64.format(x='substr(exact_hash, 1, 16)'))} ::VARCHAR AS phash_value FROM doc_items UNION ALL SELECT -id, NULL FROM doc_items WHERE id % 2 = 0")
 def phash_decode(spark, d):
     items = view(spark, d, "doc_items")
     whole = items.select("id", F.base64(F.unhex(F.substring("exact_hash", 1, 16))).alias("p"))
     short = items.where("id % 2 = 0").select((-F.col("id")).alias("id"), F.lit("AAAA").alias("p"))
-    return whole.union(short).select("id", X.phash_value(F.col("p")).alias("phash_value"))
+    return whole.union(short).select("id", X.phash_value(F.col("p")).cast("string").alias("phash_value"))
 
 
 SIM = f"""tok AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS t FROM documents),
