@@ -6,15 +6,15 @@ with very many neighbours meets no single task.  Rounds are cut off by tables in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from curatrix.sources.tables import discard, materialize
 
 
 def _directed(edges: DataFrame) -> DataFrame:
-    """Every edge from its larger end a to its smaller end b, once."""
-    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """Every edge from its larger end a to its smaller end b."""
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     # an edge (a, b), a > b: a is the larger neighbour of b
-    return edges.join(least.select(F.col("a").alias("b"), "m"), "b").select("a", F.col("m").alias("b"))
+    return edges.join(least.select(F.col("a").alias("b"), "m"), "b").select("a", F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -32,23 +32,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The different edges as a table, with their number and the sum of their smaller ends, which tell two rounds apart."""
+    seen = Observation()
+    told = edges.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s"))
+    held = materialize(told, "stars")
+    return held, (seen.get["n"], seen.get["s"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of all nodes of the edges; component is the smallest id.
 
     Self edges give components of one; null ends are left out.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    nodes = materialize(edges, "edges")
-    now = materialize(_directed(nodes), "stars")
-    told = None
-    while True:
-        after = materialize(_directed(_small_star(_directed(_large_star(now)))), "stars")
-        row = after.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-        discard(now)
-        now = after
-        if tuple(row) == told:
+    first = materialize(edges, "edges")
+    now, told = _kept(_directed(first))
+    while told[0]:
+        before, last = now, told
+        now, told = _kept(_directed(_small_star(_large_star(now))))
+        discard(before)
+        if told == last:
             break
-        told = tuple(row)
-    every = nodes.select(F.col("a").alias("id")).union(nodes.select(F.col("b").alias("id"))).distinct()
-    found = every.join(now.select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left")
-    return found.select("id", F.coalesce("c", "id").alias("component"))
+    found = now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b")).union(first.where("a = b").select("a", "b"))
+    return found.groupBy("id").agg(F.min("component").alias("component"))
