@@ -153,7 +153,7 @@ def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "pack"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return C.materialize(docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, f"id {kind}, pack binary"), "near-packs", compression="none")
+    return C.materialize(docs.join(wanted.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(run, f"id {kind}, pack binary"), "near-packs", compression="none")
 
 
 def verified(pairs: DataFrame, packs: DataFrame) -> DataFrame:
@@ -204,9 +204,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     label = _labels(members.select("id").distinct(), checked, least)
     label = C.materialize(label, "near-labels")
     other = members.where("id <> pivot").select("id", "pivot").distinct().join(label, "id").join(label.select(F.col("id").alias("pivot"), F.col("label").alias("to")), "pivot").where("label <> to")
-    rest = other.select(F.col("id").alias("a"), F.col("pivot").alias("b")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    checked = C.materialize(checked.union(verified(rest, packs)), "near-checked")
-    label = C.materialize(_labels(members.select("id").distinct(), checked, least), "near-labels")
+    rest = C.materialize(other.select(F.col("id").alias("a"), F.col("pivot").alias("b")).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
+    if not rest.isEmpty():
+        checked = C.materialize(checked.union(verified(rest, packs)), "near-checked")
+        label = C.materialize(_labels(members.select("id").distinct(), checked, least), "near-labels")
     # in buckets of several components, what the distances to the smallest id don't exclude
     apart = members.join(label, "id")
     mixed = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
@@ -216,13 +217,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     mate = left.select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("far").alias("far2"))
     possible = F.coalesce(F.abs(F.col("far") - F.col("far2")) <= 1 - least + 1e-9, F.lit(True))
     more = left.join(mate, "bucket").where((F.col("id") > F.col("id2")) & (F.col("label") != F.col("label2")) & possible)
-    more = more.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    links = checked.union(verified(more, packs)).where(F.col("similarity") >= least).select("a", "b")
-
+    more = C.materialize(more.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-more")
     # texts, their copies' ids and links: ids of one text, and texts of one id, are together
-    versions = known.groupBy("doc_id").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key <> last").select("doc_id")
-    again = known.join(versions, "doc_id", "left_semi").join(reps.select("key", "id"), "key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    found = C.materialize(connected_components(links.union(again)), "near-classes")
+    versions = C.materialize(known.groupBy("doc_id").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key <> last").select("doc_id"), "near-versions")
+    if more.isEmpty() and versions.isEmpty():
+        found = label.select("id", F.col("label").alias("component"))
+    else:
+        links = checked.union(verified(more, packs)).where(F.col("similarity") >= least).select("a", "b")
+        again = known.join(versions, "doc_id", "left_semi").join(reps.select("key", "id"), "key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+        found = C.materialize(connected_components(links.union(again)), "near-classes")
     of = reps.select("key", "id").join(found, "id", "left").select("key", F.coalesce("component", "id").alias("class_id"))
     grouped = known.select("doc_id", "key").join(of, "key").select("doc_id", "class_id")
     alone = rows.where("doc_id is null or key is null").select("doc_id", F.col("doc_id").alias("class_id"))
