@@ -8,9 +8,9 @@ is below the shingle's weight.  A component's value is its earliest point.  Poin
 generated up to a time by which all components have one, so the work hardly grows with their number.
 
 Signatures are cut in bands; texts that share a band are candidates.  Copies are first reduced to
-one text.  In each bucket all texts are compared with the smallest id, then texts of different
-components that are left with each other, unless the triangle inequality for their distances to
-that id excludes a link.  Each comparison is of the whole multisets.  Classes are the connected components of links.
+one text.  In each bucket all texts are compared with the one that meets most texts over all
+buckets, then texts of different components that are left with each other, unless the triangle
+inequality for their distances to that one excludes a link.  Each comparison is of the whole multisets.  Classes are the connected components of links.
 
 Cases: null counts as the empty text; texts without words are alone; texts of fewer than 5 words
 have one shingle, all their words; rows repeated with one doc_id are one document in several versions, and a link
@@ -194,24 +194,30 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     # copies: one text each, under its smallest id; versions of one id are linked by it
     reps = C.materialize(known.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("key", F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")), "near-texts", compression="none")
     places = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("bucket", "pivot")
-    members = C.materialize(places.join(shared, "bucket").distinct(), "near-members")
+    shared = places.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket", "n")
+    held = C.materialize(places.join(shared, "bucket").distinct(), "near-places", compression="none")
+    # the text that meets most others stands nearest to the middle of its bucket
+    weighed = held.join(held.groupBy("id").agg(F.sum("n").alias("w")), "id")
+    middle = weighed.groupBy("bucket").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("x")).select("bucket", (-F.col("x.m")).alias("pivot"), F.col("x.w").alias("w"))
+    members = C.materialize(held.select("id", "bucket").join(middle, "bucket"), "near-members", compression="none")
     packs = _packed(docs, members.select("id").distinct())
 
-    pairs = members.where("id <> pivot").groupBy("id").agg(F.min("pivot").alias("b")).select(F.col("id").alias("a"), "b")
-    checked = verified(pairs, packs)
-    # texts that their smallest bucket mate doesn't bring together with the others
+    ends = lambda df, x, y: df.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+    best = members.where("id <> pivot").groupBy("id").agg(F.max(F.struct("w", (-F.col("pivot")).alias("m"))).alias("x")).select("id", (-F.col("x.m")).alias("pivot"))
+    checked = verified(ends(best, "id", "pivot"), packs)
+    # texts that their best bucket mate doesn't bring together with the others
     label = _labels(members.select("id").distinct(), checked, least)
     label = C.materialize(label, "near-labels")
     other = members.where("id <> pivot").select("id", "pivot").distinct().join(label, "id").join(label.select(F.col("id").alias("pivot"), F.col("label").alias("to")), "pivot").where("label <> to")
-    rest = C.materialize(other.select(F.col("id").alias("a"), F.col("pivot").alias("b")).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
+    rest = C.materialize(ends(other, "id", "pivot").join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
     if not rest.isEmpty():
         checked = C.materialize(checked.union(verified(rest, packs)), "near-checked")
         label = C.materialize(_labels(members.select("id").distinct(), checked, least), "near-labels")
-    # in buckets of several components, what the distances to the smallest id don't exclude
+    # in buckets of several components, what the distances to their middle don't exclude
     apart = members.join(label, "id")
     mixed = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
     far = checked.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
+    far = far.union(far.select("pivot", "id", "far"))
     left = apart.join(mixed, "bucket", "left_semi").join(far, ["id", "pivot"], "left").withColumn("far", F.when(F.col("id") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
     left = C.materialize(left.select("bucket", "id", "label", "far"), "near-left")
     mate = left.select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("far").alias("far2"))
