@@ -62,11 +62,11 @@ def test_pii_base_is_the_plain_search():
 
 
 def test_pii_adds_what_the_labelers_agree_on(spark, odd, none):
-    spelt = "please write an email to jane.doe at example dot com today"
-    rows = [(i, f"email: u{i}@mail.example.com and card 4111 1111 1111 1111", "a") for i in range(60)] + [(100 + i, spelt.replace("jane", f"j{i}"), "a") for i in range(60)]
-    got = pii.digest(pii.spans(frame(spark, rows))).collect()
-    assert all(r.n_email == 1 and r.n_card == 1 for r in got if r.doc_id < 100)
-    assert all(r.n_email == 0 and r.spans.startswith("email:25:") for r in got if r.doc_id >= 100)
+    rows = [(i, f"email: u{i}@mail.example.com and card 4111 1111 1111 1111", "a") for i in range(200)] + [(200 + i, f"say u{i}@mail.example.com", "a") for i in range(100)]
+    rows += [(300 + i, f"my email: j{i}.doe at example dot com and", "a") for i in range(60)] + [(400 + i, f"she sat at noon dot and x at y dot zz{i} now", "a") for i in range(60)]
+    got = {r.doc_id: r for r in pii.digest(pii.spans(frame(spark, rows))).collect()}
+    assert all(got[i].n_email == 1 and got[i].n_card == (i < 200) for i in range(300))
+    assert all(got[i].n_email == 0 and got[i].spans.startswith("email:10:") for i in range(300, 360)) and all(got[i].spans == "" for i in range(400, 460))
     assert pii.digest(pii.spans(odd)).count() == 7 and pii.digest(pii.spans(none)).count() == 0
 
 
@@ -147,12 +147,12 @@ def test_quality_cases(spark, odd, none):
 
 def test_mixing_cases(spark, odd, none):
     got = mixing.mix(odd).collect()
-    assert len(got) == 7 and mixing.mix(none).count() == 0 and {r.size for r in got} == {0, 8, 9, 150000}
+    assert len(got) == 7 and mixing.mix(none).count() == 0 and {r.size for r in got} == {0, 9, 150000}
     assert mixing.emit(odd).columns == odd.columns and mixing.emit(none).count() == 0
     rows = [(i, "w " * (i % 40 + 1), f"s{i % 7}") for i in range(3000)]
     mixed = mixing.mix(frame(spark, rows)).toPandas()
     assert (mixed.taken <= 2 * mixed["size"]).all()
-    assert sum(mixed.groupby("target").first().index) == pytest.approx(1.5 * mixed["size"].sum())
+    assert mixed.groupby(mixed.doc_id % 7).target.first().sum() == pytest.approx(1.5 * mixed["size"].sum())
     by = mixed.assign(source=mixed.doc_id % 7).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
     assert (abs(by.taken / by.target - 1) < 0.1).all()
     emitted = mixing.emit(frame(spark, rows)).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
