@@ -282,6 +282,47 @@ def test_lines_are_those_of_all_pairs(spark, odd, none):
     assert lines.dedupe(none).count() == 0 and lines.dedupe(odd).columns == odd.columns and lines.report(odd).count() == 7
 
 
+def linked(rows, least=0.9):
+    """Places that go, by comparing all pairs of normalised lines by their edit similarity alone."""
+    occ = [(i, k, re.sub(r"[\W_]+", " ", x.lower()).strip()) for i, t, _ in rows for k, x in enumerate(t.split("\n"))]
+    different = sorted({x for *_, x in occ})
+    up = {x: x for x in different}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, x in enumerate(different):
+        for y in different[:k]:
+            most = int(max(len(x), len(y)) * (1 - least) + 1e-9)
+            if most and abs(len(x) - len(y)) <= most and find(x) != find(y) and edits(x, y) <= most:
+                up[find(x)] = find(y)
+    kept, out = set(), {}
+    for i, k, x in sorted(occ):
+        if x and find(x) in kept:
+            out.setdefault(i, set()).add(k)
+        kept.add(find(x))
+    return out
+
+
+def test_lines_link_by_edit_similarity_alone(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    rows = []
+    for i in range(25):
+        own = [word() for _ in range((6, 9, 14, 20, 40)[i % 5])]
+        other = list(own)
+        other[rng.randrange(len(own))] = "zz"
+        typed = list(" ".join(own))
+        for k in rng.sample(range(len(typed)), len(typed) // 14):
+            typed[k] = rng.choice("abcdefgh")
+        rows += [(3 * i, " ".join(own), "a"), (3 * i + 1, " ".join(other), "a"), (3 * i + 2, "".join(typed), "a")]
+    got = {r.doc_id: set(r.places) for r in lines.dropped(frame(spark, rows)).collect()}
+    want = linked(rows)
+    assert got == want and len(want) > 35
+
+
 def test_simhash_votes(spark):
     words = [f"w{i}" for i in range(300)]
     hashes = [r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
