@@ -323,6 +323,13 @@ def test_lines_link_by_edit_similarity_alone(spark):
     assert got == want and len(want) > 35
 
 
+def test_documents_with_own_short_lines_stay(spark):
+    footer = "the same footer of five words"
+    rows = [(1, footer, "a"), (2, f"a table\n{footer}\nof its own", "a"), (3, f"{footer}\n--", "a")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, frame(spark, rows), SF).collect()}
+    assert got == {1: footer, 2: "a table\nof its own"}
+
+
 def test_simhash_votes(spark):
     words = [f"w{i}" for i in range(300)]
     hashes = [r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
