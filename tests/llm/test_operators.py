@@ -323,6 +323,12 @@ def test_lines_link_by_edit_similarity_alone(spark):
     assert got == want and len(want) > 35
 
 
+def test_short_and_unspaced_lines_repeat(spark):
+    han = "我们今天在学校里学习数学和语文还有英语以及体育课程"
+    rows = [(1, f"Home\nown one\n{han}", "a"), (2, f"home!\nown two\n{han[:-1]}程序", "a"), (3, "--\nchapter 10\nHOME", "a"), (4, "--\nchapter 11", "a")]
+    assert {r.doc_id: r.dropped for r in lines.report(frame(spark, rows)).collect()} == {1: "", 2: "0,2", 3: "2", 4: ""}
+
+
 def test_documents_with_own_short_lines_stay(spark):
     footer = "the same footer of five words"
     rows = [(1, footer, "a"), (2, f"a table\n{footer}\nof its own", "a"), (3, f"{footer}\n--", "a")]
