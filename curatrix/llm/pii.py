@@ -103,9 +103,9 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     spans = [(k, a, b, True) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
     loose = []
-    dotted = _SPELT.search(text)
+    spelt = _SPELT.search(text)
     for k, name in enumerate(KINDS):
-        if k == 0 and not dotted or k == 1 and text.count(":") < 7 or k > 1 and not _SOME.search(text):
+        if k == 0 and not spelt or k == 1 and text.count(":") < 7 or k > 1 and not _SOME.search(text):
             continue
         loose += [(k, m.start(), m.end()) for m in _LOOSE[name].finditer(text)]
     if loose:
@@ -123,8 +123,9 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-_SPELT = re.compile(r"\x20dot\x20|[(\[](?:at|dot)[)\]]", re.I | re.A)
-_SOME = re.compile(r"[0-9]{3}[\x20.)-]")
+# what every match of the loose email, and of the loose card or phone, holds
+_SPELT = re.compile(r"\x20at\x20|[(\[]at[)\]]", re.I | re.A)
+_SOME = re.compile(r"[0-9]{3}[\x20./)-]")
 
 
 def em(counts: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:

@@ -70,6 +70,11 @@ def test_pii_adds_what_the_labelers_agree_on(spark, odd, none):
     assert pii.digest(pii.spans(odd)).count() == 7 and pii.digest(pii.spans(none)).count() == 0
 
 
+def test_pii_searches_every_loose_form():
+    assert [x[:3] for x in pii.candidates("email: jane at example.com")] == [(0, 7, 26)]
+    assert [x[:3] for x in pii.candidates("4111/1111/1111/1111, so")] == [(2, 0, 19)]
+
+
 def test_em_tells_reliable_labelers():
     counts = np.zeros(32)
     counts[0b01111], counts[0b00000], counts[0b01000], counts[0b10000] = 500, 100, 300, 200
