@@ -4,7 +4,8 @@ The base rules give labelled credentials: values of assignments, access keys and
 For each kind a prefix tree of the values is built and states whose futures are statistically
 compatible (Hoeffding's bound on the frequencies of ends and next characters, recursively) are
 merged, which leaves a deterministic probabilistic automaton of the kind's format.  Another automaton is
-inferred from ordinary words.  Every further run of key characters is a candidate and is scored by its log
+inferred from ordinary words.  Every further run of 6 or more key characters, dots
+included, is a candidate (and, if its whole isn't added, each of its parts between dots) and is scored by its log
 likelihood ratio a character; it is added if a kind's automaton explains it far better than
 the words' does and nearly as well as that kind's own credentials.
 
@@ -36,8 +37,7 @@ RATIO, BELOW = 1.0, 0.1
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_LETTER, _DIGIT = re.compile(r"[A-Za-z]").search, re.compile(r"[0-9]").search
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 _WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,64}")
 
 
@@ -50,7 +50,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of runs of key characters with letters and digits that no base span touches."""
+    """(start, end, value) of runs of key characters, from 6 on and without dots at their ends, that no base span touches."""
     held = sorted((a, b) for a, _, b, _ in base)
     far, ends = 0, []
     for _, b in held:
@@ -59,11 +59,21 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
     starts = [a for a, _ in held]
     out = []
     for m in _RUN.finditer(text):
-        v = m.group()
-        if _DIGIT(v) and _LETTER(v):
-            i = bisect.bisect_left(starts, m.end())
-            if not i or ends[i - 1] <= m.start():
-                out.append((m.start(), m.end(), v))
+        v = m.group().strip(".")
+        if len(v) < 6:
+            continue
+        start = m.start() + m.group().index(v)
+        i = bisect.bisect_left(starts, start + len(v))
+        if not i or ends[i - 1] <= start:
+            out.append((start, start + len(v), v))
+    return out
+
+
+def parts(start: int, value: str) -> list[tuple[int, str]]:
+    """(start, value) of a candidate, then of its parts between dots."""
+    out = [(start, value)]
+    if "." in value:
+        out += [(start + m.start(), m.group()) for m in re.finditer(r"[^.]{6,}", value)]
     return out
 
 
@@ -215,9 +225,12 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             for rest in batch.column(2).to_pylist():
                 own = []
                 for x in rest:
-                    k, s = judge(x["value"], models, least, plain)
-                    if k >= 0:
-                        own.append({"start": x["start"], "kind": k, "end": x["end"], "value": x["value"], "score": s})
+                    for start, v in parts(x["start"], x["value"]):
+                        k, s = judge(v, models, least, plain)
+                        if k >= 0:
+                            own.append({"start": start, "kind": k, "end": start + len(v), "value": v, "score": s})
+                            if v == x["value"]:
+                                break
                 added.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, kinds)], names=["doc_id", "base", "added"])
 

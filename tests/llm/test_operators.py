@@ -410,6 +410,17 @@ def test_automata_learn_formats(spark, odd, none):
     assert secrets.digest(secrets.spans(odd)).count() == 7 and secrets.digest(secrets.spans(none)).count() == 0
 
 
+def test_short_and_dotted_secrets_are_candidates(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("etaoinsh") for _ in range(9))
+    pin = lambda: "".join(rng.choice("0123456789") for _ in range(8))
+    dotted = lambda: ".".join("".join(rng.choice("XQZ789") for _ in range(4)) for _ in range(3))
+    rows = [(i, f"{word()} password={pin() if i % 2 else dotted()} {word()}", "a") for i in range(300)]
+    rows += [(300 + i, " ".join(word() for _ in range(20)), "a") for i in range(200)] + [(900, f"left {pin()} alone", "a"), (901, f"left {dotted()}.", "a")]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.spans(frame(spark, rows))).collect()}
+    assert got[900] == "assign:5:13" and got[901] == "assign:5:19" and got[300] == ""
+
+
 # 10
 
 
