@@ -3,14 +3,15 @@
 The base rules give labelled credentials: values of assignments, access keys and hexadecimal keys.
 For each kind a prefix tree of the values is built and states whose futures are statistically
 compatible (Hoeffding's bound on the frequencies of ends and next characters, recursively) are
-merged, which leaves a deterministic probabilistic automaton of the kind's format.  Another automaton is
-inferred from ordinary words.  Every further run of 6 or more key characters, dots
+merged, which leaves a deterministic probabilistic automaton of the kind's format.  The background is a
+model of three characters over all different words of all documents outside base spans.  Every further run of 6 or more key characters, dots
 included, is a candidate (and, if its whole isn't added, each of its parts between dots) and is scored by its log
 likelihood ratio a character; it is added if a kind's automaton explains it far better than
-the words' does and nearly as well as that kind's own credentials.
+the background, without its own share, does and nearly as well as that kind's own credentials.
 
-The automata are inferred from a bounded sample of labelled values: the ``SAMPLE`` different values
-of a kind, of at most ``LONGEST`` characters, whose hashes are smallest.  Candidates are all scored.
+Only states are merged on a bounded sample of labelled values: the ``SAMPLE`` different values
+of a kind, of at most ``LONGEST`` characters, whose hashes are smallest.  How well a kind's credentials score is
+taken over all of them, and candidates are all scored.
 
 Cases: null counts as the empty text, which has no spans; whole texts are searched; an empty table
 gives no rows; kinds without any credential add nothing; repeated rows count each; of the table
@@ -22,8 +23,8 @@ from __future__ import annotations
 import bisect
 import math
 import re
-import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
-_WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,64}")
+_WORD = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+#: Characters and the blank (0) before a word.
+_SIZE = len(_LETTERS) + 1
+_CODES = np.zeros(256, np.int64)
+_CODES[np.frombuffer(_LETTERS.encode(), np.uint8)] = np.arange(1, _SIZE)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -99,6 +105,9 @@ class Automaton:
             self.ends[at] += 1
         self.merge()
         self.letters = len({c for x in self.next for c in x}) + 1
+        # of each state: next state and log likelihood of the characters seen, and that of others
+        whole = [n + 0.5 * self.letters for n in self.seen]
+        self.table = [({c: (to, math.log((n + 0.5) / w)) for c, (to, n) in x.items()}, (0, math.log(0.5 * 0.1 / w))) for x, w in zip(self.next, whole)]
 
     def differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > self.bound * (n1**-0.5 + n2**-0.5)
@@ -152,41 +161,116 @@ class Automaton:
         self.seen, self.ends = [self.seen[q] for q in fixed], [self.ends[q] for q in fixed]
         self.next = [{c: [names[to], n] for c, (to, n) in self.next[q].items()} for q in fixed]
 
-    def score(self, value: str) -> float:
-        """The log likelihood a character; characters that a state hasn't seen count half a time."""
-        at, total = 0, 0.0
+    def score(self, value: str, least: float = -math.inf) -> float:
+        """The log likelihood a character, or minus infinity below least; characters that a state hasn't seen count half a time."""
+        at, total, low = 0, 0.0, least * len(value) - 1e-9 if value else -math.inf
         for c in value:
-            to = self.next[at].get(c)
-            n = self.seen[at] + 0.5 * self.letters
-            total += math.log((to[1] + 0.5 if to else 0.5 * 0.1) / n)
-            at = to[0] if to else 0
+            known, other = self.table[at]
+            at, p = known.get(c, other)
+            total += p
+            if total < low:
+                return -math.inf
         return total / max(1, len(value))
 
 
+def trigrams(words: list[str]) -> np.ndarray:
+    """The codes of each character of the words with the two before it."""
+    x = _CODES[np.frombuffer(("  " + "  ".join(words)).encode(), np.uint8)]
+    return ((x[:-2] * _SIZE + x[1:-1]) * _SIZE + x[2:])[x[2:] > 0]
+
+
+class Background:
+    """Characters' probabilities after two others, backed off to one and none, from all trigrams' counts."""
+
+    def __init__(self, counts: np.ndarray):
+        self.three = counts.reshape(_SIZE, _SIZE, _SIZE)
+        self.two, self.one = self.three.sum(0), self.three.sum((0, 1))
+        self.after, self.all = self.two.sum(1), self.one.sum()
+        self.before = self.three.sum(2)
+
+    def score(self, value: str, weight: float = 5.0) -> float:
+        """The log likelihood a character, the value's own trigrams not counted."""
+        t = trigrams([value])
+        a, b, c = t // _SIZE**2, t // _SIZE % _SIZE, t % _SIZE
+        own = lambda x: (x[:, None] == x).sum(1)
+        less = lambda n, x: np.maximum(n - own(x), 0)
+        p = (less(self.one[c], c) + 0.5) / (max(self.all - len(t), 0) + 0.5 * _SIZE)
+        p = (less(self.two[b, c], b * _SIZE + c) + weight * p) / (less(self.after[b], b) + weight)
+        p = (less(self.three[a, b, c], t) + weight * p) / (less(self.before[a, b], a * _SIZE + b) + weight)
+        return float(np.log(np.minimum(p, 1.0)).mean())
+
+
+def background(docs: DataFrame) -> Background | None:
+    """Counted over all different words outside base spans; what is gathered is one count a trigram."""
+
+    def words(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                found: set[str] = set()
+                for t in batch.column(0).slice(low, 500).to_pylist():
+                    at = 0
+                    for a, _, b, _ in base_spans(t) if t else []:
+                        if a > at:
+                            found.update(_WORD.findall(t, at, a))
+                        at = max(at, b)
+                    if t:
+                        found.update(_WORD.findall(t, at))
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(_SIZE**3, np.int64)
+        for batch in batches:
+            total += np.bincount(trigrams(batch.column(0).to_pylist()), minlength=_SIZE**3)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["gram", "n"])
+
+    grams = docs.select("text").mapInArrow(words, "word string").distinct().mapInArrow(count, "gram long, n long")
+    told = grams.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most 69 ** 3 rows
+    if not len(told):
+        return None
+    counts = np.zeros(_SIZE**3, np.int64)
+    counts[told["gram"].to_numpy()] = told["n"].to_numpy()
+    return Background(counts)
+
+
 def _sample(values: DataFrame) -> list[str]:
     """The SAMPLE different values whose hashes are smallest."""
     values = values.where(F.length("value") <= LONGEST).distinct()
     return [r["value"] for r in values.orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()]
 
 
-def infer(found: DataFrame) -> tuple[list[Automaton | None], list[float], Automaton | None]:
-    """The kinds' automata, the least scores of their own credentials (hundredth part), and the words' automaton."""
-    models, least = [], []
+def infer(found: DataFrame) -> tuple[list[Automaton | None], list[float]]:
+    """The kinds' automata, and the least scores of their own credentials (hundredth part of all different ones)."""
+    labelled = found.select(F.explode("base").alias("x")).select("x.kind", "x.value").distinct()
+    models = []
     for k in range(len(KINDS)):
-        own = _sample(found.select(F.explode("base").alias("x")).where(f"x.kind = {k}").select("x.value"))
-        model = Automaton(own) if own else None
-        models.append(model)
-        scores = sorted(model.score(v) for v in own) if model else []
-        least.append(scores[len(scores) // 100] - BELOW if scores else math.inf)
-    plain = _sample(found.where("word is not null").select(F.col("word").alias("value")))
-    return models, least, Automaton(plain) if plain else None
+        own = _sample(labelled.where(F.col("kind") == k).select("value"))
+        models.append(Automaton(own) if own else None)
+
+    def score(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            # a kind whose values are all longer than LONGEST has no automaton
+            scores = [models[k].score(v) if models[k] else None for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["kind", "score"])
+
+    low = labelled.mapInArrow(score, "kind int, score double").groupBy("kind").agg(F.percentile_approx("score", 0.01, 10000).alias("low")).collect()
+    told = {r["kind"]: r["low"] for r in low if r["low"] is not None}
+    return models, [told[k] - BELOW if k in told else math.inf for k in range(len(KINDS))]
 
 
-def judge(value: str, models: list[Automaton | None], least: list[float], plain: Automaton | None) -> tuple[int, float]:
+def judge(value: str, models: list[Automaton | None], least: list[float], plain: Background | None) -> tuple[int, float]:
     """The kind whose format a value has, or -1, and its log likelihood ratio a character."""
+    best = max(((m.score(value, least[k]), k) for k, m in enumerate(models) if m), default=(-math.inf, -1))
+    if best[0] == -math.inf or best[0] < least[best[1]]:
+        return -1, -math.inf
     word = plain.score(value) if plain else -10.0
-    best = max(((m.score(value), k) for k, m in enumerate(models) if m), default=(-math.inf, -1))
-    fits = best[1] >= 0 and best[0] - word >= RATIO and best[0] >= least[best[1]]
+    fits = best[0] - word >= RATIO
     return (best[1] if fits else -1), best[0] - word
 
 
@@ -201,38 +285,39 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                base, rest, word = [], [], []
+                base, rest = [], []
                 for t in part.column(1).to_pylist():
                     own = base_spans(t) if t else []
                     base.append([dict(zip(("start", "kind", "end", "value"), x)) for x in own])
                     rest.append([dict(zip(("start", "end", "value"), x)) for x in candidates(t, own)] if t else [])
-                    # an ordinary word for the background, drawn by hash, from texts without credentials
-                    word.append(min(set(_WORD.findall(t)), key=lambda w: zlib.crc32(w.encode()), default=None) if t and not own and not rest[-1] else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, span), pa.array(rest, more), pa.array(word, pa.string())], names=["doc_id", "base", "rest", "word"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, span), pa.array(rest, more)], names=["doc_id", "base", "rest"])
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, base array<struct<start:int,kind:int,end:int,value:string>>, rest array<struct<start:int,end:int,value:string>>, word string"
+    schema = f"doc_id {kind}, base array<struct<start:int,kind:int,end:int,value:string>>, rest array<struct<start:int,end:int,value:string>>"
     found = C.materialize(chosen.mapInArrow(search, schema), "secrets")
-    models, least, plain = infer(found)
+    models, least = infer(found)
+    plain = background(chosen)
 
     def score(batches):
         import pyarrow as pa
 
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("score", pa.float64())]))
         for batch in batches:
-            added = []
-            for rest in batch.column(2).to_pylist():
-                own = []
-                for x in rest:
-                    for start, v in parts(x["start"], x["value"]):
-                        k, s = judge(v, models, least, plain)
-                        if k >= 0:
-                            own.append({"start": start, "kind": k, "end": start + len(v), "value": v, "score": s})
-                            if v == x["value"]:
-                                break
-                added.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, kinds)], names=["doc_id", "base", "added"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                added = []
+                for rest in part.column(2).to_pylist():
+                    own = []
+                    for x in rest:
+                        for start, v in parts(x["start"], x["value"]):
+                            k, s = judge(v, models, least, plain)
+                            if k >= 0:
+                                own.append({"start": start, "kind": k, "end": start + len(v), "value": v, "score": s})
+                                if v == x["value"]:
+                                    break
+                    added.append(own)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(added, kinds)], names=["doc_id", "base", "added"])
 
     return found.select("doc_id", "base", "rest").mapInArrow(score, f"doc_id {kind}, base array<struct<start:int,kind:int,end:int,value:string>>, added array<struct<start:int,kind:int,end:int,value:string,score:double>>")
 

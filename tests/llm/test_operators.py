@@ -421,6 +421,15 @@ def test_short_and_dotted_secrets_are_candidates(spark):
     assert got[900] == "assign:5:13" and got[901] == "assign:5:19" and got[300] == ""
 
 
+def test_background_is_all_words(spark):
+    rng = random.Random(11)
+    ident = lambda: "X" + "".join(rng.choice("0123456789") for _ in range(17))
+    # identifiers beside credentials are ordinary words too
+    rows = [(i, f"password={ident()} and order {ident()} " + " ".join(ident() for _ in range(20)), "a") for i in range(300)]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.spans(frame(spark, rows))).collect()}
+    assert all("," not in x and x.startswith("assign:0:") for x in got.values())
+
+
 # 10
 
 
