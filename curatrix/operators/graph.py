@@ -33,9 +33,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The different edges as a table, with their number and the sum of their smaller ends, which tell two rounds apart."""
+    """The different edges as a table, with their number and the sum of their hashes, which tell two rounds apart."""
     seen = Observation()
-    told = edges.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s"))
+    told = edges.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
     held = materialize(told, "stars")
     return held, (seen.get["n"], seen.get["s"])
 
