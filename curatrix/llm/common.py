@@ -56,3 +56,21 @@ def join_keyed(big: DataFrame, small: DataFrame, key: str, n_small: int, salt: C
     small = small.withColumn(s2, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     on = big[key].eqNullSafe(small[other]) & (big[s1] == small[s2])
     return big.join(small, on, how).drop(other, s1, s2)
+
+#: A filter has so many rows of 32,768 bits: 8 MB, whatever the size of what it is made from.
+FILTER_ROWS = 2048
+
+
+def thinned(big: DataFrame, key: str, few: DataFrame, few_key: str) -> DataFrame:
+    """big without most rows whose key (a long) few doesn't have, to shorten the join that follows.
+
+    The keys of few set bits in a table of fixed size, which is broadcast; keys that share
+    a bit pass as well, so with very many keys all rows do.
+    """
+    bits = F.pmod(F.col(few_key), F.lit(FILTER_ROWS * 32768)).alias("bit")
+    sets = few.select(bits).groupBy(F.expr("bit div 32768").alias("row_")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits_"))
+    at = F.pmod(F.col(key), F.lit(FILTER_ROWS * 32768))
+    told = big.withColumn("at_", at)
+    held = told.join(F.broadcast(sets), F.expr("at_ div 32768 = row_"))
+    byte = F.expr("ascii(decode(substring(bits_, cast(at_ % 32768 div 8 as int) + 1, 1), 'ISO-8859-1'))")
+    return held.where(F.call_function("shiftright", byte, (F.col("at_") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*big.columns)

@@ -259,28 +259,7 @@ def test_lines_are_those_of_all_pairs(spark, odd, none):
         rows.append((i, "\n".join([*own, "short"]), "a"))
     df = frame(spark, rows)
     got = {r.doc_id: set(r.places) for r in lines.dropped(df).collect()}
-    occ = lines.occurrences(df).orderBy("doc_id", "place").collect()
-    norm = {(r.doc_id, r.place): r.norm for r in df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "x")).select("doc_id", "place", lines.normal(F.col("x")).alias("norm")).collect()}
-    up = {}
-
-    def find(x):
-        while up.setdefault(x, x) != x:
-            x = up[x]
-        return x
-
-    seen = {r.line: (r.sim, norm[r.doc_id, r.place]) for r in occ}
-    ids = sorted(seen)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            (s, x), (t, y) = seen[a], seen[b]
-            if bin((s ^ t) & (2**64 - 1)).count("1") <= lines.BITS and find(a) != find(b):
-                if edits(x, y) <= int(max(len(x), len(y)) * (1 - lines.SIMILAR) + 1e-9):
-                    up[find(a)] = find(b)
-    want, kept = {}, set()
-    for r in occ:
-        if find(r.line) in kept:
-            want.setdefault(r.doc_id, set()).add(r.place)
-        kept.add(find(r.line))
+    want = linked(rows)
     assert got == want and sum(map(len, want.values())) > 20
     out = {r.doc_id: r.text for r in lines.dedupe(odd).collect()}
     assert out[None].startswith("null id") and out[1] is None and out[2] == "" and out[3] == LONG and 5 not in out
@@ -344,10 +323,42 @@ def test_documents_with_own_short_lines_stay(spark):
 def test_simhash_votes(spark):
     words = [f"w{i}" for i in range(300)]
     hashes = [r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
-    for n in (1, 2, 5, 127, 128, 254, 300):
-        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes[:n]) > n)
-        got = spark.createDataFrame([(words[:n],)], "w array<string>").select(lines.simhash(F.col("w")).alias("h")).first().h
-        assert got % 2**64 == want
+    sizes = (1, 2, 5, 127, 128, 254, 300)
+    table = spark.createDataFrame([(n, " ".join(words[:n] * 2)) for n in sizes], "line int, norm string")
+    got = {r.line: r.sim % 2**64 for r in lines.simhash(table).collect()}
+    assert got == {n: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes[:n]) > n) for n in sizes}
+
+
+def similar_lines(texts_, least=lines.SIMILAR):
+    """All pairs of different normalised lines of 5 words or 20 characters and more by edit similarity; sizes and pair counts rule most out."""
+    import duckdb
+
+    every = {re.sub(r"[\W_]+", " ", x.lower()).strip() for t in texts_ for x in t.split("\n")}
+    every = sorted((x for x in every if x.count(" ") >= lines.LEAST - 1 or len(x) >= lines.CHARACTERS), key=lambda x: (len(x), x))
+    size = np.array([len(x) for x in every])
+    bags = np.zeros((len(every), 512), np.float32)
+    for k, x in enumerate(every):
+        np.add.at(bags[k], [zlib.crc32(x[i : i + 2].encode()) % 512 for i in range(len(x) - 1)], 1)
+    found = []
+    for k in range(len(every)):
+        near = np.arange(np.searchsorted(size, size[k] * least - 1e-6), k)
+        # an edit changes two pairs of characters at most
+        most = int(size[k] * (1 - least) + 1e-9)
+        found += [(every[j], every[k], most) for j in near[np.maximum(bags[k] - bags[near], 0).sum(1) <= 2 * most] if most]
+    import pandas as pd
+
+    pairs = pd.DataFrame(found, columns=["x", "y", "most"])
+    con = duckdb.connect()
+    con.register("pairs", pairs)
+    return con.execute("select x, y from pairs where levenshtein(x, y) <= most").fetchall()
+
+
+def test_recall_of_similar_lines_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wanted = similar_lines([r.text for r in docs.select("text").collect() if r.text])
+    label = {r.norm: r.label for r in lines.groups(lines.occurrences(docs)).join(lines.occurrences(docs).select("line", "norm").distinct(), "line").select("norm", "label").collect()}
+    hit = sum(x in label and label[x] == label.get(y) for x, y in wanted)
+    assert len(wanted) > 200 and hit >= 0.98 * len(wanted)
 
 
 # 7
