@@ -9,8 +9,9 @@ generated up to a time by which all components have one, so the work hardly grow
 
 Signatures are cut in bands; texts that share a band are candidates.  Copies are first reduced to
 one text.  In each bucket all texts are compared with the one that meets most texts over all
-buckets, then texts of different components that are left with each other, unless the triangle
-inequality for their distances to that one excludes a link.  Each comparison is of the whole multisets.  Classes are the connected components of links.
+buckets, then texts of different components with another one, again and again while that finds links, and at last with each
+other, unless the triangle inequality for their distances to the first, the number of shingles that they have in common with any
+text of another component or the parities of their shingles' counts exclude a link.  Each comparison is of the whole multisets.  Classes are the connected components of links.
 
 Cases: null counts as the empty text; texts without words are alone; texts of fewer than 5 words
 have one shingle, all their words; rows repeated with one doc_id are one document in several versions, and a link
@@ -36,6 +37,10 @@ SHINGLE, SIMILAR = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 20 = 0.00003.
 BANDS, ROWS = 20, 4
 REMEMBERED = 200_000
+#: Texts that all others are compared with in a bucket beyond the first, at most; what they leave is compared whatever the number.
+TURNS = 8
+#: So many times 64 parity bits.
+PARITY = 8
 
 _WORD = re.compile("[^ \t\n\x0b\f\r]+").findall
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -186,6 +191,58 @@ def _labels(members: DataFrame, checked: DataFrame, least: float) -> DataFrame:
     return members.join(found.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
+def _left(members: DataFrame, label: DataFrame) -> DataFrame:
+    """bucket, id and label of the members of buckets that several components share."""
+    told = members.select("bucket", "id").join(label, "id")
+    mixed = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    return C.materialize(told.join(mixed, "bucket", "left_semi"), "near-left")
+
+
+def _masses(left: DataFrame, packs: DataFrame, least: float) -> DataFrame:
+    """id, size (shingles, repeats counted), shared (those that texts of other components among left have as well) and their parities.
+
+    Parity bit k tells whether the number of shingles with the hash k modulo their number of bits is odd; each shingle that
+    one text has more often than another changes one bit.
+
+    A text of which not even the part ``least`` is shared has no link to another component and is left out.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                bags = [multiset(_WORD(unpack.decompress(p).decode())) for p in part.column(2).to_pylist()]
+                times = np.array([len(h) for h, _ in bags], np.int64)
+                rows = pa.array(np.repeat(np.arange(len(bags)), times))
+                h, w = (np.concatenate([x[k] for x in bags]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(h.view(np.int64)), pa.array(w)], names=["id", "label", "shingle", "w"])
+
+    kinds = {c: left.schema[c].dataType.simpleString() for c in ("id", "label")}
+    ids = left.select("id", "label").distinct().join(packs, "id")
+    told = C.materialize(ids.mapInArrow(run, f"id {kinds['id']}, label {kinds['label']}, shingle long, w long"), "near-shingles")
+    place = F.pmod("shingle", F.lit(64 * PARITY))
+    bit = lambda k: (F.floor(place / 64) == k) & (F.col("w") % 2 == 1)
+    parity = [F.bit_xor(F.when(bit(k), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITY)]
+    before = None
+    while True:
+        several = told.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
+        several = C.materialize(several.withColumn("known", F.lit(True)), "near-several")
+        sums = told.join(several, "shingle", "left").groupBy("id").agg(F.sum("w").alias("size"), F.sum(F.when(F.col("known"), F.col("w")).otherwise(0)).alias("shared"), *parity)
+        sums = C.materialize(sums.where(F.col("shared") + 1e-6 >= least * F.col("size")), "near-masses")
+        n = sums.count()
+        if not n or before is not None and n > 0.9 * before:
+            break
+        # without the texts left out, others share less
+        last, told, before = told, C.materialize(told.join(sums.select("id"), "id", "left_semi"), "near-shingles"), n
+        C.discard(last, several)
+    C.discard(told, several)
+    return sums
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of its class, of each row of docs."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -213,15 +270,35 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     if not rest.isEmpty():
         checked = C.materialize(checked.union(verified(rest, packs)), "near-checked")
         label = C.materialize(_labels(members.select("id").distinct(), checked, least), "near-labels")
-    # in buckets of several components, what the distances to their middle don't exclude
-    apart = members.join(label, "id")
-    mixed = apart.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    far = checked.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
-    far = far.union(far.select("pivot", "id", "far"))
-    left = apart.join(mixed, "bucket", "left_semi").join(far, ["id", "pivot"], "left").withColumn("far", F.when(F.col("id") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
-    left = C.materialize(left.select("bucket", "id", "label", "far"), "near-left")
-    mate = left.select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("far").alias("far2"))
+    # again other pivots, in turn of the first's component and of the others, as long as they bring texts together
+    firsts = middle.select("bucket", F.col("pivot").alias("first"))
+    left = _left(members, label)
+    for turn in range(TURNS):
+        told = firsts.join(label.select(F.col("id").alias("first"), F.col("label").alias("told")), "first").select("bucket", "told")
+        side = (F.col("label") == F.col("told")) if turn % 2 == 0 else (F.col("label") != F.col("told"))
+        pick = left.join(told, "bucket").groupBy("bucket").agg(F.max(F.struct(side.alias("side"), F.xxhash64("id", F.lit(turn)).alias("at"), "id", "label")).alias("x"))
+        pairs = left.join(pick.select("bucket", F.col("x.id").alias("other"), F.col("x.label").alias("to")), "bucket").where("label <> to")
+        again = verified(ends(pairs, "id", "other").join(checked.select("a", "b"), ["a", "b"], "left_anti"), packs)
+        checked = checked.union(again)
+        n, links = again.agg(F.count("*"), F.count_if(F.col("similarity") >= least)).first()
+        if links:
+            label = C.materialize(_labels(members.select("id").distinct(), checked, least), "near-labels")
+            left = _left(members, label)
+        if links * 20 <= n:
+            break
+    # in buckets of several components, what the distances to their first pivot and the shingles that texts share don't exclude
+    far = checked.select(F.col("a").alias("id"), F.col("b").alias("first"), (1 - F.col("similarity")).alias("far"))
+    far = far.union(far.select("first", "id", "far"))
+    left = left.join(firsts, "bucket").join(far, ["id", "first"], "left").withColumn("far", F.when(F.col("id") == F.col("first"), F.lit(0.0)).otherwise(F.col("far")))
+    left = C.materialize(left.select("bucket", "id", "label", "far").join(_masses(left, packs, least), "id"), "near-left")
+    parity = [f"p{k}" for k in range(PARITY)]
+    mate = left.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "far", "size", "shared", *parity)])
     possible = F.coalesce(F.abs(F.col("far") - F.col("far2")) <= 1 - least + 1e-9, F.lit(True))
+    # similarity s of multisets x and y means that s / (1 + s) of |x| + |y| is in both, and (1 - s) / (1 + s) in one alone
+    sizes = F.col("size") + F.col("size2")
+    possible = possible & (F.least("shared", "shared2") + 1e-6 >= least / (1 + least) * sizes)
+    odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in parity), F.lit(0))
+    possible = possible & (odd <= (1 - least) / (1 + least) * sizes + 1e-6)
     more = left.join(mate, "bucket").where((F.col("id") > F.col("id2")) & (F.col("label") != F.col("label2")) & possible)
     more = C.materialize(more.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-more")
     # texts, their copies' ids and links: ids of one text, and texts of one id, are together
