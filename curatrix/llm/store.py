@@ -17,8 +17,9 @@ Reading gives every document's ids back: packs and chunks owned by others are pu
 recipe, and each chunk's address, each leaf and each segment's root are computed anew and compared.
 
 Cases: null counts as the empty text, which has the end id alone; rows repeated with one doc_id
-are documents of their own; rows without doc_id come first; an empty table gives no rows; of the
-table only the named columns are read.
+are documents of their own, in the order of their leaves; equal documents (ties) share a leaf; rows without doc_id come first; texts of any
+length are encoded whole, as many chunks; an empty table gives no rows; of the
+table only the named columns are read, so columns of the names used here don't matter.
 """
 
 from __future__ import annotations
@@ -64,16 +65,18 @@ class Encoder(dict):
     """The library's ids of a pretoken, as little-endian unsigned 32-bit integers, remembered.
 
     Byte-level BPE never merges across pretokens.  Texts of Latin letters and plain blanks are cut
-    into pretokens here, others are left to the library as a whole.
+    into pretokens here, others are left to the library as a whole.  So are texts that hold a special token's
+    characters: by default the library takes them for the token, with ``special`` false for plain text.
     """
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(model)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # for texts that are one pretoken each: the same tokenizer without the cutting
         self.plain = Tokenizer.from_file(model)
         self.plain.encode_special_tokens = True
@@ -81,7 +84,10 @@ class Encoder(dict):
         self.older: dict[str, bytes] = {}
         letters, digits = _class("L"), _class("N")
         self.cut = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{digits}]+| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+").findall
-        self.odd = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]").search
+        self.unknown = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]").search
+
+    def odd(self, text: str) -> bool:
+        return bool(self.unknown(text)) or any(s in text for s in self.special)
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -100,20 +106,30 @@ class Encoder(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of some texts."""
+        get = self.get
         cut = [None if not t or self.odd(t) else self.cut(t) for t in texts]
-        need = set().union(*[tokens for tokens in cut if tokens])
-        missing = need - self.keys()
-        if len(self) + len(missing) > REMEMBERED:
+        known = [None if tokens is None else list(map(get, tokens)) for tokens in cut]
+        missing = [None if tokens is None else [t for t, ids in zip(tokens, found) if ids is None] for tokens, found in zip(cut, known)]
+        need = list(dict.fromkeys(t for tokens in missing if tokens for t in tokens))
+        if len(self) + len(need) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-            missing = need
-        self.learn(list(missing))
-        return [(self.ids(t) if t else b"") if tokens is None else b"".join(map(self.__getitem__, tokens)) for t, tokens in zip(texts, cut)]
+        self.learn(need)
+        out = []
+        for t, found, tokens in zip(texts, known, missing):
+            if found is None:
+                out.append(self.ids(t) if t else b"")
+                continue
+            if tokens:
+                learnt = map(self.__getitem__, tokens)
+                found = [next(learnt) if ids is None else ids for ids in found]
+            out.append(b"".join(found))
+        return out
 
 
 @lru_cache(maxsize=2)
-def encoder(model: str) -> Encoder:
-    return Encoder(model)
+def encoder(model: str, special: bool = True) -> Encoder:
+    return Encoder(model, special)
 
 
 def model_path(name: str = MODEL) -> str:
@@ -201,7 +217,7 @@ class Merkle:
         return out
 
 
-def _encoded(docs: DataFrame, doc_id: str, text: str, model: str, end: int) -> DataFrame:
+def _encoded(docs: DataFrame, doc_id: str, text: str, model: str, end: int, special: bool) -> DataFrame:
     """doc_id, leaf, n, addresses, lens and ids of each document, where it is read."""
 
     def run(batches):
@@ -209,7 +225,7 @@ def _encoded(docs: DataFrame, doc_id: str, text: str, model: str, end: int) -> D
         import pyarrow as pa
         import zstandard
 
-        enc, pack = encoder(model), zstandard.ZstdCompressor(level=3)
+        enc, pack = encoder(model, special), zstandard.ZstdCompressor(level=3)
         tail = np.asarray([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -255,10 +271,10 @@ def _shared(encoded: DataFrame) -> DataFrame:
 SEGMENT = "leaf binary, segment int, place long, n long, addresses binary, lens array<int>, uses array<int>, own array<boolean>, pack binary, docs long, root binary"
 
 
-def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", model: str | None = None, end: int = END, segments: int | None = None) -> None:
-    """Writes the store of docs to ``path``."""
+def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", model: str | None = None, end: int = END, segments: int | None = None, special: bool = True) -> None:
+    """Writes the store of docs to ``path``.  With ``special`` the characters of a special token in a text are that token, as the library has it."""
     model = model or model_path()
-    encoded = C.materialize(_encoded(docs, doc_id, text, model, end), "store-encoded", compression="none")
+    encoded = C.materialize(_encoded(docs, doc_id, text, model, end, special), "store-encoded", compression="none")
     kind = encoded.schema["doc_id"].dataType.simpleString()
     told = _shared(encoded)
     told = told.select("doc_id", "leaf", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("addresses"), F.lit(None).cast("array<int>").alias("lens"), F.lit(None).cast("binary").alias("ids"), "first", "uses")
@@ -322,13 +338,23 @@ def verify(spark: SparkSession, path: str) -> dict:
     """
     stored = spark.read.parquet(f"{path}/segments")
 
-    def roots(pdf):
-        tree = Merkle()
-        for x in pdf.sort_values("place", kind="stable")["leaf"]:
-            tree.add(bytes(x))
-        return pdf.iloc[:1][["segment"]].assign(root=tree.root())
+    def roots(batches):
+        import pyarrow as pa
 
-    found = {r["segment"]: bytes(r["root"]) for r in stored.where("docs is null").select("segment", "place", "leaf").groupBy("segment").applyInPandas(roots, "segment int, root binary").collect()}
+        segment, tree = None, Merkle()
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != segment and segment is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([tree.root()], pa.binary())], names=["segment", "root"])
+                    tree = Merkle()
+                segment = k
+                tree.add(x)
+        if segment is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([tree.root()], pa.binary())], names=["segment", "root"])
+
+    # a segment's leaves pass by in order, with one digest a level in memory
+    leaves = stored.where("docs is null").select("segment", "place", "leaf").repartition("segment").sortWithinPartitions("segment", "place")
+    found = {r["segment"]: bytes(r["root"]) for r in leaves.mapInArrow(roots, "segment int, root binary").collect()}
     top, docs, n = Merkle(), 0, 0
     for r in stored.where("docs is not null").select("segment", "docs", "n", "root").orderBy("segment").collect():
         if found.get(r["segment"]) != bytes(r["root"]):

@@ -171,7 +171,6 @@ def test_store_gives_the_librarys_ids(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(store.model_path())
-    tk.encode_special_tokens = True
     at = 0
     got = {r.doc_id: r for r in queries.op4_token_store(spark, SF).collect()}
     for i, t in sorted(texts(spark).items()):
@@ -204,8 +203,15 @@ def test_pretokens_are_the_librarys():
     enc, rng = store.encoder(store.model_path()), random.Random(2)
     alphabet = "abcXYZé \n\t .,'’1²3ªº½$#<|endoftext|>'s're 日😀 \x1c\x85́İßǅ   "
     rows = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(25))) for _ in range(5000)]
+    rows += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x"]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(store.model_path())
     for t, ids in zip(rows, enc.encode(rows)):
-        assert np.frombuffer(ids, "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    library.encode_special_tokens = True
+    for t, ids in zip(rows, store.encoder(store.model_path(), False).encode(rows)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_pieces_are_the_librarys(spark, odd, none):
