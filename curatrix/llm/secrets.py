@@ -4,7 +4,8 @@ The base rules give labelled credentials: values of assignments, access keys and
 For each kind a prefix tree of the values is built and states whose futures are statistically
 compatible (Hoeffding's bound on the frequencies of ends and next characters, recursively) are
 merged, which leaves a deterministic probabilistic automaton of the kind's format.  The background is a
-model of three characters over all different words of all documents outside base spans.  Every further run of 6 or more key characters, dots
+model of three characters over all words of all documents outside base spans.  Both give the likelihood of a whole value with its end, so
+its length counts as well.  Every further run of 6 or more key characters, dots
 included, is a candidate (and, if its whole isn't added, each of its parts between dots) and is scored by its log
 likelihood ratio a character; it is added if a kind's automaton explains it far better than
 the background, without its own share, does and nearly as well as that kind's own credentials.
@@ -13,9 +14,9 @@ Only states are merged on a bounded sample of labelled values: the ``SAMPLE`` di
 of a kind, of at most ``LONGEST`` characters, whose hashes are smallest.  How well a kind's credentials score is
 taken over all of them, and candidates are all scored.
 
-Cases: null counts as the empty text, which has no spans; whole texts are searched; an empty table
-gives no rows; kinds without any credential add nothing; repeated rows count each; of the table
-only the named columns are read.
+Cases: null counts as the empty text, which has no spans; whole texts of any length are searched; an empty table
+gives no rows; kinds without any credential add nothing; repeated rows count each and get equal spans; of equally likely kinds the
+last as listed is taken; of the table only the named columns are read, so columns of the names used here don't matter.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from . import common as C
 
 KINDS = ("assign", "access", "hex")
 SAMPLE, LONGEST = 600, 128
+#: Runs that a worker remembers as not added.
+REMEMBERED = 300_000
 #: Least log likelihood ratio a character of an added span, and how far below its kind's poorest own credentials (per character) it may score.
 RATIO, BELOW = 1.0, 0.1
 
@@ -39,7 +42,6 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
-_WORD = re.compile(r"[A-Za-z0-9+/_.=-]+")
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Characters and the blank (0) before a word.
 _SIZE = len(_LETTERS) + 1
@@ -104,10 +106,25 @@ class Automaton:
                 self.seen[at] += 1
             self.ends[at] += 1
         self.merge()
-        self.letters = len({c for x in self.next for c in x}) + 1
-        # of each state: next state and log likelihood of the characters seen, and that of others
-        whole = [n + 0.5 * self.letters for n in self.seen]
-        self.table = [({c: (to, math.log((n + 0.5) / w)) for c, (to, n) in x.items()}, (0, math.log(0.5 * 0.1 / w))) for x, w in zip(self.next, whole)]
+        self.smooth()
+
+    def smooth(self, weight: float = 1.0) -> None:
+        """Log likelihoods: of each state those of stopping, of the characters seen with their next state, and of any other one.
+
+        Each state gives ``weight`` more counts to stopping and all characters alike.  A character that it
+        hasn't seen leads to a free state, whose likelihoods are those of the kind's characters as a whole, so that those of
+        all values make 1.
+        """
+        each = weight / (len(_LETTERS) + 1)
+        total: dict[str, int] = {}
+        for x in self.next:
+            for c, (_, n) in x.items():
+                total[c] = total.get(c, 0) + n
+        self.free = len(self.next)
+        self.table = []
+        for stop, x in [*zip(self.ends, self.next), (sum(self.ends), {c: (self.free, n) for c, n in total.items()})]:
+            whole = stop + sum(n for _, n in x.values()) + weight
+            self.table.append(({c: (to, math.log((n + each) / whole)) for c, (to, n) in x.items()}, (self.free, math.log(each / whole)), math.log((stop + each) / whole)))
 
     def differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > self.bound * (n1**-0.5 + n2**-0.5)
@@ -162,25 +179,27 @@ class Automaton:
         self.next = [{c: [names[to], n] for c, (to, n) in self.next[q].items()} for q in fixed]
 
     def score(self, value: str, least: float = -math.inf) -> float:
-        """The log likelihood a character, or minus infinity below least; characters that a state hasn't seen count half a time."""
-        at, total, low = 0, 0.0, least * len(value) - 1e-9 if value else -math.inf
+        """The log likelihood of the value and of its end, a character (the end counts as one), or minus infinity below least."""
+        at, total, low = 0, 0.0, least * (len(value) + 1) - 1e-9
         for c in value:
-            known, other = self.table[at]
+            known, other, _ = self.table[at]
             at, p = known.get(c, other)
             total += p
             if total < low:
                 return -math.inf
-        return total / max(1, len(value))
+        total += self.table[at][2]
+        return total / (len(value) + 1) if total >= low else -math.inf
 
 
-def trigrams(words: list[str]) -> np.ndarray:
-    """The codes of each character of the words with the two before it."""
-    x = _CODES[np.frombuffer(("  " + "  ".join(words)).encode(), np.uint8)]
-    return ((x[:-2] * _SIZE + x[1:-1]) * _SIZE + x[2:])[x[2:] > 0]
+def trigrams(text: str) -> np.ndarray:
+    """The codes of each key character, and of each end of a word, with the two characters before it; others count as blanks."""
+    x = _CODES[np.frombuffer(f"  {text} ".encode(), np.uint8)]
+    a, b, c = x[:-2], x[1:-1], x[2:]
+    return ((np.where(b > 0, a, 0) * _SIZE + b) * _SIZE + c)[(b > 0) | (c > 0)]
 
 
 class Background:
-    """Characters' probabilities after two others, backed off to one and none, from all trigrams' counts."""
+    """Characters' and ends' probabilities after two others, backed off to one and none, from all trigrams' counts."""
 
     def __init__(self, counts: np.ndarray):
         self.three = counts.reshape(_SIZE, _SIZE, _SIZE)
@@ -189,8 +208,8 @@ class Background:
         self.before = self.three.sum(2)
 
     def score(self, value: str, weight: float = 5.0) -> float:
-        """The log likelihood a character, the value's own trigrams not counted."""
-        t = trigrams([value])
+        """The log likelihood a character with its end, the value's own trigrams not counted."""
+        t = trigrams(value)
         a, b, c = t // _SIZE**2, t // _SIZE % _SIZE, t % _SIZE
         own = lambda x: (x[:, None] == x).sum(1)
         less = lambda n, x: np.maximum(n - own(x), 0)
@@ -200,36 +219,38 @@ class Background:
         return float(np.log(np.minimum(p, 1.0)).mean())
 
 
-def background(docs: DataFrame) -> Background | None:
-    """Counted over all different words outside base spans; what is gathered is one count a trigram."""
+def gather(docs: DataFrame) -> DataFrame:
+    """What is learnt from: kind and value of each base span, and gram and n, trigrams' counts over all words outside base spans."""
 
-    def words(batches):
+    def run(batches):
         import pyarrow as pa
 
+        total = np.zeros(_SIZE**3, np.int64)
+        names = ["kind", "value", "gram", "n"]
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                found: set[str] = set()
-                for t in batch.column(0).slice(low, 500).to_pylist():
+            for low in range(0, batch.num_rows, 200):
+                kinds, values, rest = [], [], []
+                for t in batch.column(0).slice(low, 200).to_pylist():
                     at = 0
-                    for a, _, b, _ in base_spans(t) if t else []:
-                        if a > at:
-                            found.update(_WORD.findall(t, at, a))
+                    for a, k, b, v in base_spans(t) if t else []:
+                        kinds.append(k)
+                        values.append(v)
+                        rest.append(t[at : max(at, a)])
                         at = max(at, b)
-                    if t:
-                        found.update(_WORD.findall(t, at))
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+                    rest.append(t[at:] if t else "")
+                total += np.bincount(trigrams(" ".join(rest)), minlength=_SIZE**3)
+                if kinds:
+                    none = pa.nulls(len(kinds), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string()), none, none], names=names)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int32()), pa.nulls(len(seen), pa.string()), pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=names)
 
-    def count(batches):
-        import pyarrow as pa
+    return C.materialize(docs.select("text").mapInArrow(run, "kind int, value string, gram long, n long"), "secret-facts")
 
-        total = np.zeros(_SIZE**3, np.int64)
-        for batch in batches:
-            total += np.bincount(trigrams(batch.column(0).to_pylist()), minlength=_SIZE**3)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["gram", "n"])
 
-    grams = docs.select("text").mapInArrow(words, "word string").distinct().mapInArrow(count, "gram long, n long")
-    told = grams.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most 69 ** 3 rows
+def background(facts: DataFrame) -> Background | None:
+    """From gather()'s counts; what reaches the driver is one count a trigram."""
+    told = facts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most 69 ** 3 rows
     if not len(told):
         return None
     counts = np.zeros(_SIZE**3, np.int64)
@@ -243,9 +264,9 @@ def _sample(values: DataFrame) -> list[str]:
     return [r["value"] for r in values.orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()]
 
 
-def infer(found: DataFrame) -> tuple[list[Automaton | None], list[float]]:
+def infer(facts: DataFrame) -> tuple[list[Automaton | None], list[float]]:
     """The kinds' automata, and the least scores of their own credentials (hundredth part of all different ones)."""
-    labelled = found.select(F.explode("base").alias("x")).select("x.kind", "x.value").distinct()
+    labelled = facts.where("kind is not null").select("kind", "value").distinct()
     models = []
     for k in range(len(KINDS)):
         own = _sample(labelled.where(F.col("kind") == k).select("value"))
@@ -274,52 +295,63 @@ def judge(value: str, models: list[Automaton | None], least: list[float], plain:
     return (best[1] if fits else -1), best[0] - word
 
 
+class Judge:
+    """Which runs of a text are added, by the models; runs none of which is are remembered."""
+
+    def __init__(self, models: list[Automaton | None], least: list[float], plain: Background | None):
+        self.models, self.least, self.plain = models, least, plain
+        self.dull: set[str] = set()
+
+    def __getstate__(self):
+        return self.__dict__ | {"dull": set()}
+
+    def added(self, text: str, base: list[tuple[int, int, int, str]]) -> list[dict]:
+        runs = {r.strip(".") for r in set(_RUN.findall(text)) - self.dull}
+        runs = {r for r in runs if len(r) >= 6}
+        if not runs:
+            return []
+        verdicts: dict[str, list[dict]] = {}
+        for run in runs:
+            own = verdicts[run] = []
+            for start, v in parts(0, run):
+                k, s = judge(v, self.models, self.least, self.plain)
+                if k >= 0:
+                    own.append({"start": start, "kind": k, "end": start + len(v), "value": v, "score": s})
+                    if v == run:
+                        break
+        if len(self.dull) > REMEMBERED:
+            self.dull.clear()
+        self.dull |= {r for r, own in verdicts.items() if not own and len(r) <= LONGEST}
+        if not any(verdicts.values()):
+            return []
+        return [x | {"start": start + x["start"], "end": start + x["end"]} for start, _, v in candidates(text, base) for x in verdicts.get(v, ())]
+
+
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base and added: each document's spans as (start, kind, end), with the value and, if added, its score."""
+    """doc_id, base and added: each document's spans as (start, kind, end), with the value and, if added, its score.
+
+    The texts are read twice: for what is learnt, and to find and score the spans where they are.
+    """
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    facts = gather(chosen)
+    judges = Judge(*infer(facts), background(facts))
 
     def search(batches):
         import pyarrow as pa
 
-        span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-        more = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+        span = [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string())]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                base, rest = [], []
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                base, added = [], []
                 for t in part.column(1).to_pylist():
                     own = base_spans(t) if t else []
                     base.append([dict(zip(("start", "kind", "end", "value"), x)) for x in own])
-                    rest.append([dict(zip(("start", "end", "value"), x)) for x in candidates(t, own)] if t else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, span), pa.array(rest, more)], names=["doc_id", "base", "rest"])
+                    added.append(judges.added(t, own) if t else [])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, pa.list_(pa.struct(span))), pa.array(added, pa.list_(pa.struct([*span, ("score", pa.float64())])))], names=["doc_id", "base", "added"])
 
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, base array<struct<start:int,kind:int,end:int,value:string>>, rest array<struct<start:int,end:int,value:string>>"
-    found = C.materialize(chosen.mapInArrow(search, schema), "secrets")
-    models, least = infer(found)
-    plain = background(chosen)
-
-    def score(batches):
-        import pyarrow as pa
-
-        kinds = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("score", pa.float64())]))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                added = []
-                for rest in part.column(2).to_pylist():
-                    own = []
-                    for x in rest:
-                        for start, v in parts(x["start"], x["value"]):
-                            k, s = judge(v, models, least, plain)
-                            if k >= 0:
-                                own.append({"start": start, "kind": k, "end": start + len(v), "value": v, "score": s})
-                                if v == x["value"]:
-                                    break
-                    added.append(own)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(added, kinds)], names=["doc_id", "base", "added"])
-
-    return found.select("doc_id", "base", "rest").mapInArrow(score, f"doc_id {kind}, base array<struct<start:int,kind:int,end:int,value:string>>, added array<struct<start:int,kind:int,end:int,value:string,score:double>>")
+    return chosen.mapInArrow(search, f"doc_id {kind}, base array<struct<start:int,kind:int,end:int,value:string>>, added array<struct<start:int,kind:int,end:int,value:string,score:double>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
