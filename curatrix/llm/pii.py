@@ -1,22 +1,24 @@
 """Personal data by weak supervision.
 
 Every candidate span (a regular expression's match, or a looser form of one) is voted on by
-labelers of three sorts: patterns (the base rule of a kind), gazetteers (known mail providers,
-top-level domains, card prefixes, calling codes) and context (words before the span, neighbours).
+labelers of three sorts: patterns (the base rule of a kind), gazetteers (mail providers,
+top-level domains, networks, card issuers' prefixes and lengths, calling codes) and context (words before the span, neighbours).
 Expectation-maximisation over the vote patterns' counts estimates each labeler's reliability and
 each kind's prior, without labels.  The posteriors then train a span classifier, a logistic model of the
-votes and of the span's form, that decides about spans outside the base.  Base spans always stay.
+votes (but the base rule's) and of the span's form, that decides about spans outside the base.  Base spans always stay.
 
-What is gathered is one count a (kind, vote pattern), of which there are at most 2 ** labelers a
+What is gathered is one count a (kind, pattern of votes and form), of which there are at most 512 a
 kind, so it doesn't grow with the corpus.
 
-Cases: null counts as the empty text, which has no spans; whole texts are searched in linear time;
-an empty table gives no rows; repeated rows count each; of the table only the named columns are read.
+Cases: null counts as the empty text, which has no spans; whole texts of any length are searched in linear time;
+an empty table gives no rows; repeated rows count each and get equal spans; of loose spans that overlap the first, then the longest, then
+the kind listed first is a candidate; of the table only the named columns are read, so columns of the names used here don't matter.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 import numpy as np
@@ -38,7 +40,7 @@ _DIGITS = re.compile(r"[^0-9]")
 
 # looser forms, from which the classifier may add spans
 _LOOSE = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}+(?:(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}+)+", re.I | re.A),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)+", re.I | re.A),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9.])[0-9]{4}([\x20./-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9.])"),
     "phone": re.compile(r"(?<![0-9.+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
@@ -49,9 +51,33 @@ _CUES = {
     "card": re.compile(r"(?:card|visa|master|amex|credit|payment)\W*(?:(?:no|number)\W*)?$", re.I | re.A),
     "phone": re.compile(r"(?:phone|tel|call|mobile|cell|fax)\W*$", re.I | re.A),
 }
-_TLDS = frozenset("com org net edu gov io de fr es uk eu info us".split())
-_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65")
+# Well-known generic top-level domains (those of countries have two letters) and mail providers.
+_TLDS = frozenset("com org net edu gov mil int info biz name pro io co ai app dev me tv cloud online site store tech xyz".split())
+_PROVIDERS = frozenset("gmail googlemail outlook hotmail live msn yahoo ymail icloud aol gmx web mail proton protonmail zoho fastmail yandex qq 163 example".split())
+# issuers' prefixes of card numbers, as (first, last, lengths).
+_CARDS = (
+    ("300", "305", {14}), ("34", "34", {15}), ("3528", "3589", {16, 17, 18, 19}), ("36", "36", {14}), ("37", "37", {15}), ("38", "39", {14}),
+    ("4", "4", {13, 16, 19}), ("50", "50", {*range(13, 20)}), ("51", "55", {16}), ("56", "58", {*range(13, 20)}), ("2221", "2720", {16}),
+    ("6011", "6011", {16, 17, 18, 19}), ("62", "62", {16, 17, 18, 19}), ("644", "649", {16, 17, 18, 19}), ("65", "65", {16, 17, 18, 19}),
+)
+# Calling codes of one and two digits; three digits by their zones.
+_CALLING = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-69]|3[578]|42|5[09]|6[789]|8[0578]|9[679])[0-9]")
 LABELERS = ("pattern", "gazetteer", "cue", "apart", "company")
+#: What the classifier sees of a span's form: of usual length, more than half digits, one sort of separator at most, an end of words behind it.
+FORMS = ("usual", "digits", "even", "closed")
+_USUAL = {"email": (8, 40), "ip": (7, 39), "card": (15, 19), "phone": (10, 18)}
+
+
+def _known(kind: int, span: str, digits: str) -> bool:
+    """Whether a gazetteer has a span: top-level domain or provider, network, card issuer, calling code."""
+    if kind == 0:
+        labels = re.split(r"\W+", span.lower())
+        return labels[-1] in _TLDS or len(labels[-1]) == 2 and labels[-1].isalpha() or not _PROVIDERS.isdisjoint(labels)
+    if kind == 1:
+        return span.lower().startswith(("2", "3", "fe8", "fe9", "fea", "feb", "fc", "fd")) if ":" in span else 1 <= int(span.split(".")[0]) <= 223
+    if kind == 2:
+        return luhn(digits) and any(low <= digits[: len(low)] <= high and len(digits) in sizes for low, high, sizes in _CARDS)
+    return bool(_CALLING.match(digits)) if span[0] == "+" else len(digits) == 10 and digits[0] not in "01" and digits[3] not in "01"
 
 
 def luhn(digits: str) -> bool:
@@ -81,27 +107,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _votes(text: str, kind: int, start: int, end: int, base: bool, others: bool) -> int:
-    """The labelers' votes on a span as bits."""
+    """The labelers' votes on a span as bits, then those of its form."""
     span = text[start:end]
     digits = _DIGITS.sub("", span)
-    if kind == 0:
-        known = re.split(r"\W+", span.lower())[-1] in _TLDS
-    elif kind == 1:
-        known = ":" in span or not span.startswith(("0.", "127.", "255."))
-    elif kind == 2:
-        known = digits.startswith(_PREFIXES) and luhn(digits)
-    else:
-        known = "555" in digits or digits.startswith("1") or len(digits) == 10
     cue = bool(_CUES[KINDS[kind]].search(text[max(0, start - 24) : start]))
-    apart = not (text[start - 1 : start].isalnum() or text[end : end + 1].isalnum())
-    return base | known << 1 | cue << 2 | apart << 3 | others << 4
+    before, behind = text[start - 1 : start] if start else "", text[end : end + 1]
+    apart = not (before.isalnum() or behind.isalnum())
+    low, high = _USUAL[KINDS[kind]]
+    separators = set(span) - set("0123456789") if kind > 1 else set(span) & set(" ([.:")
+    form = (low <= len(span) <= high) | (2 * len(digits) > len(span)) << 1 | (len(separators - {"+", "(", ")"}) <= 1) << 2 | (not behind or behind in " \n\t.,;:!?)'\"") << 3
+    return base | _known(kind, span, digits) << 1 | cue << 2 | apart << 3 | others << 4 | form << len(LABELERS)
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
-    """(kind, start, end, votes) of all candidates, base spans first in order."""
+    """(kind, start, end, votes) of all candidates, base spans first in order; of loose ones that overlap the first and longest."""
     base = base_spans(text)
     spans = [(k, a, b, True) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
     loose = []
     spelt = _SPELT.search(text)
     for k, name in enumerate(KINDS):
@@ -109,11 +130,16 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
             continue
         loose += [(k, m.start(), m.end()) for m in _LOOSE[name].finditer(text)]
     if loose:
+        taken = sorted((a, b) for _, a, b in base)
         starts = [a for a, _ in taken]
+        # the furthest end of all base spans up to each
+        ends = list(itertools.accumulate((b for _, b in taken), max))
+        far = 0
         for k, a, b in sorted(loose, key=lambda x: (x[1], -x[2])):
-            i = bisect.bisect_right(starts, b - 1)
-            if not any(a < e for _, e in taken[max(0, i - 4) : i]):
+            i = bisect.bisect_left(starts, b)
+            if a >= far and (not i or ends[i - 1] <= a):
                 spans.append((k, a, b, False))
+                far = b
     near = sorted(a for _, a, _, _ in spans)
     out = []
     for k, a, b, is_base in spans:
@@ -162,21 +188,21 @@ def _logistic(bits: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds:
 
 
 def fit(found: DataFrame) -> dict[int, np.ndarray]:
-    """A probability for each vote pattern, a kind, by EM and the classifier trained on its posteriors.
+    """A probability for each pattern of votes and form, a kind, by EM on the votes and the classifier trained on its posteriors.
 
-    The classifier sees no base vote: it must tell from the other evidence what EM believes.
+    The classifier sees the form but no base vote: it must tell from the other evidence what EM believes.
     """
-    n = len(LABELERS)
-    table = np.zeros((len(KINDS), 2**n))
+    n, forms = len(LABELERS), len(FORMS)
+    table = np.zeros((len(KINDS), 2 ** (n + forms)))
     spans = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").count()
-    for r in spans.collect():  # at most kinds * 2 ** labelers rows
+    for r in spans.collect():  # at most kinds * 2 ** (labelers + forms) rows
         table[r["kind"], r["votes"]] = r["count"]
-    bits = (np.arange(2**n)[:, None] >> np.arange(n)) & 1
+    bits = (np.arange(2 ** (n + forms))[:, None] >> np.arange(n + forms)) & 1
     seen = bits[:, 1:]
     out = {}
     for k in range(len(KINDS)):
-        *_, post = em(table[k])
-        w = _logistic(seen, post, table[k])
+        *_, post = em(table[k].reshape(2**forms, 2**n).sum(0))
+        w = _logistic(seen, np.tile(post, 2**forms), table[k])
         out[k] = 1 / (1 + np.exp(-np.clip(seen @ w[:-1] + w[-1], -30, 30)))
     return out
 

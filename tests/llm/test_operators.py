@@ -75,6 +75,43 @@ def test_pii_searches_every_loose_form():
     assert [x[:3] for x in pii.candidates("4111/1111/1111/1111, so")] == [(2, 0, 19)]
 
 
+def test_pii_query_on_documents(spark):
+    text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op1_pii(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id for r in got} == set(text) and len(got) == len(text)
+    for r in got:
+        want = plain_pii(text[r.doc_id] or "")
+        said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in want) for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and set(filter(None, said.split(","))) <= set(r.spans.split(","))
+
+
+def test_pii_spans_apart():
+    long = "a" * 90 + "@" + "b" * 300 + ".com"
+    text = f"call +49 170 123456789 or mail {long} or {'c' * 80} at {'d' * 70} dot org"
+    found = pii.candidates(text)
+    assert [x[0] for x in found] == [0, 3, 0] and text[found[2][1] : found[2][2]].startswith("ccc") and text[found[2][1] : found[2][2]].endswith("dot org")
+    ends = sorted(x[1:3] for x in found)
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_pii_obfuscated_spans_recall_and_precision(spark):
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9)))
+    rows, planted = [], {}
+    for i in range(400):
+        rows.append((i, f"{name()} email: {name()}@{name()}.com and phone +1 202 555 0{100 + i % 100} then {name()}", "a"))
+    for i in range(400, 600):
+        head = f"{name()} {name()} please email: "
+        span = (f"{name()} at {name()} dot com", f"{name()}(at){name()}.org", f"{name()} [at] {name()} [dot] net")[i % 3]
+        rows.append((i, head + span + f", {name()}", "a"))
+        planted[i] = f"email:{len(head)}:{len(head) + len(span)}"
+    rows += [(i, f"{name()} met {name()} at {name()} dot {name()} over 12/34/5678 {name()}", "a") for i in range(600, 800)]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.spans(frame(spark, rows))).collect()}
+    assert sum(got[i] == x for i, x in planted.items()) >= 0.9 * len(planted)
+    assert sum(got[i] != "" for i in range(600, 800)) <= 10
+
+
 def test_em_tells_reliable_labelers():
     counts = np.zeros(32)
     counts[0b01111], counts[0b00000], counts[0b01000], counts[0b10000] = 500, 100, 300, 200
@@ -413,6 +450,38 @@ def test_secrets_base_is_the_plain_search():
         assert [x[:3] for x in secrets.base_spans(t)] == sorted(want)
 
 
+def plain_secrets(t):
+    rx = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end()) for m in rx.finditer(t) if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 24])
+
+
+def test_secrets_query_on_documents(spark):
+    text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op8_secrets(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id for r in got} == set(text) and len(got) == len(text)
+    for r in got:
+        want = plain_secrets(text[r.doc_id] or "")
+        said = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in want) for k in range(3)]
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and set(filter(None, said.split(","))) <= set(r.spans.split(","))
+
+
+def test_automata_give_probabilities():
+    model = secrets.Automaton(["ab"] * 200 + ["abb"] * 100 + ["b"] * 10)
+    import itertools as it
+    import math
+
+    total = 0.0
+    for n in range(4):
+        total += sum(math.exp(model.score("".join(v)) * (n + 1)) for v in it.product("ab", repeat=n))
+    assert 0.5 < total < 1 and model.score("ab") > model.score("ba") and model.score("ab") > model.score("abbbbbbb")
+    own = model.table[0]
+    seen = sum(math.exp(p) for _, p in own[0].values()) + math.exp(own[2]) + math.exp(own[1][1]) * (len(secrets._LETTERS) - len(own[0]))
+    assert abs(seen - 1) < 1e-9
+
+
 def test_automata_learn_formats(spark, odd, none):
     rng = random.Random(9)
     key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
