@@ -42,7 +42,7 @@ END = 0
 #: A chunk ends where the hash of the last ``SEEN`` ids is 0 modulo ``MEAN``, but not before LEAST ids and at MOST ids at the latest.
 SEEN, MEAN, LEAST, MOST = 8, 512, 128, 4096
 #: Pretokens whose ids a worker remembers; as many again are kept from before.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Uses of a chunk for each copy of it that is dealt out on reading.
 SPREAD = 256
 ADDRESS = 16
