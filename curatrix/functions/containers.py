@@ -7,22 +7,33 @@ import struct
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
+from curatrix.functions import expr as X
+
+ZONED, LOCAL = (p.removesuffix(r"\z").removeprefix("^") for p in (X.ZONED, X.LOCAL))
+
 EPOCH_1904 = datetime(1904, 1, 1, tzinfo=timezone.utc)
 EPOCH_2001 = datetime(2001, 1, 1, tzinfo=timezone.utc)
 # Boxes that hold boxes, keys that hold dates, Matroska element ids.
 NESTS = (b"moov", b"trak", b"mdia", b"udta", b"meta", b"ilst")
 DATE_KEYS = ("com.apple.quicktime.creationdate", "creationdate", "creation_time", "date")
 SEGMENT, INFO, DATE_UTC = 0x18538067, 0x1549A966, 0x4461
-FORMATS = ("%Y:%m:%d %H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d %H:%M:%S", "%Y-%m-%d", "%Y%m%dT%H%M%S")
+FORMATS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y:%m:%d %H:%M:%S", "%Y-%m-%d")
 
 
 def loose_time(text: str) -> datetime | None:
-    text = text.strip("\0 \t\r\n")
-    try:
-        if re.match(r"\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:?\d{2})$", text):
-            return datetime.fromisoformat(text.replace("Z", "+00:00")).astimezone(timezone.utc)
-    except ValueError:
-        return None
+    """The forms of functions.expr.loose_time, to microseconds."""
+    text = text.strip("\0").strip()
+    short = re.sub(r"(\.\d{6})\d+", r"\1", text)
+    if re.fullmatch(ZONED, text):
+        try:
+            return datetime.fromisoformat(short.upper()).astimezone(timezone.utc)
+        except ValueError:
+            return None
+    if re.fullmatch(LOCAL, text) and "." in text:
+        try:
+            return datetime.fromisoformat(short).replace(tzinfo=timezone.utc)
+        except ValueError:
+            return None
     for f in FORMATS:
         try:
             return datetime.strptime(text, f).replace(tzinfo=timezone.utc)

@@ -17,11 +17,11 @@ FEATURE_VERSION, LEAST_KEYPOINTS = 7, 25
 
 # Media types of raw sensor files, and of extensions that content sniffing leaves open.
 RAW_TYPES = (
-    "image/x-canon-cr2", "image/x-canon-cr3", "image/x-canon-crw", "image/x-nikon-nef", "image/x-nikon-nrw", "image/x-sony-arw", "image/x-sony-sr2",
-    "image/x-sony-srf", "image/x-adobe-dng", "image/x-fuji-raf", "image/x-olympus-orf", "image/x-panasonic-rw2", "image/x-pentax-pef", "image/x-raw",
+    "image/x-sony-arw", "image/x-sony-sr2", "image/x-canon-cr2", "image/x-canon-cr3", "image/x-nikon-nef", "image/x-nikon-nrw", "image/x-adobe-dng",
+    "image/x-fuji-raf", "image/x-olympus-orf", "image/x-panasonic-rw2", "image/x-pentax-pef", "image/x-sigma-x3f", "image/x-hasselblad-3fr", "image/x-raw",
 )
 EXTENSIONS = {
-    "mov": "video/quicktime", "qt": "video/quicktime", "mp4": "video/mp4", "m4v": "video/x-m4v", "3gp": "video/3gpp", "3g2": "video/3gpp2",
+    "mov": "video/quicktime", "qt": "video/quicktime", "mp4": "video/mp4", "m4v": "video/mp4", "3gp": "video/3gpp", "3g2": "video/3gpp2",
     "mkv": "video/x-matroska", "webm": "video/webm", "mts": "video/mp2t", "m2ts": "video/mp2t", "avi": "video/x-msvideo", "mxf": "application/mxf",
 }
 GENERIC_TYPES = ("", "application/octet-stream", "application/x-empty", "inode/x-empty")
@@ -197,19 +197,18 @@ def exif_time(text: Column) -> Column:
     return F.try_to_timestamp(F.when(text.rlike(r"^[0-9]{4}:[0-9]{2}:[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"), text), F.lit("yyyy:MM:dd HH:mm:ss"))
 
 
-#: Patterns of loose times, each with its format, in order.
-LOOSE = (
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2})\z", "yyyy-MM-dd'T'HH:mm:ssXXX"),
-    (r"^[0-9]{4}:[0-9]{2}:[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z", "yyyy:MM:dd HH:mm:ss"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z", "yyyy-MM-dd HH:mm:ss"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\z", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z", "yyyy-MM-dd"),
-)
+#: Loose times: with an offset; without one (UTC), with any digits of a second; EXIF's form; a date.
+ZONED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})\z"
+LOCAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?\z"
+DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 
 def loose_time(text: Column) -> Column:
-    t = F.trim(F.translate(text, "\x00", ""))
-    return F.coalesce(*[F.try_to_timestamp(F.when(t.rlike(p), t), F.lit(f)) for p, f in LOOSE])
+    """A time in one of the loose forms as a timestamp, to microseconds; null for any other text."""
+    t = F.trim(F.regexp_replace(text, r"^\x00+|\x00+\z", ""))
+    short = F.regexp_replace(t, r"(\.[0-9]{6})[0-9]+", "$1")
+    utc = F.concat(short, F.when(t.rlike(DAY), F.lit("T00:00:00Z")).otherwise(F.lit("Z")))
+    return F.coalesce(F.try_to_timestamp(F.when(t.rlike(ZONED), F.upper(short))), F.try_to_timestamp(F.when(t.rlike(LOCAL) | t.rlike(DAY), utc)), exif_time(t))
 
 
 def quicktime_time(seconds: Column) -> Column:
@@ -217,9 +216,14 @@ def quicktime_time(seconds: Column) -> Column:
     return F.when(seconds != 0, F.timestamp_seconds(seconds - F.lit(2082844800)))
 
 
+def _floored(n: Column, by: int) -> Column:
+    """A long divided by another, rounded down, in whole numbers."""
+    return F.call_function("div", n - F.pmod(n, F.lit(by)), F.lit(by))
+
+
 def matroska_time(nanos: Column) -> Column:
     """Nanoseconds since 2001 as a timestamp, to microseconds."""
-    return F.timestamp_micros(F.floor(nanos / 1000).cast("long") + F.lit(978307200000000))
+    return F.timestamp_micros(_floored(nanos, 1000) + F.lit(978307200000000))
 
 
 def rfc3339(ts: Column) -> Column:
@@ -232,7 +236,7 @@ def rfc3339(ts: Column) -> Column:
 
 def nanos_rfc3339(nanos: Column) -> Column:
     """Nanoseconds since 1970 as text with 0, 3, 6 or 9 digits of a second."""
-    sec = F.floor(nanos / 1_000_000_000).cast("long")
+    sec = _floored(nanos, 1_000_000_000)
     ns = F.lpad(F.pmod(nanos, F.lit(1_000_000_000)).cast("string"), 9, "0")
     part = F.when(ns == "000000000", "").when(ns.endswith("000000"), F.concat(F.lit("."), F.substring(ns, 1, 3))).when(ns.endswith("000"), F.concat(F.lit("."), F.substring(ns, 1, 6))).otherwise(F.concat(F.lit("."), ns))
     return F.concat(F.date_format(F.timestamp_seconds(sec), "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))

@@ -161,10 +161,18 @@ def latest_operations(log: DataFrame, group_id: int, n: int = 50) -> DataFrame:
 
 
 def refingerprinted(items: DataFrame, listing: DataFrame) -> DataFrame:
-    """id and meta_json with the listing's modification time where the row has none."""
+    """id and meta_json with the listing's modification time where the row has none and the sizes agree; other keys stay.
+
+    JSON that isn't an object counts as empty.
+    """
     missing = F.coalesce(X.fingerprint_time(F.col("meta_json")), F.lit("")) == ""
-    own = items.where(missing).join(listing.select("target_path", "modified_at", F.col("size_bytes").alias("s_")), "target_path")
-    return own.select("id", F.to_json(F.struct(F.struct(F.col("s_").alias("size_bytes"), "modified_at").alias("fingerprint"))).alias("meta_json"))
+    seen = listing.select("target_path", F.col("modified_at").alias("m_"), F.col("size_bytes").alias("s_"))
+    own = items.where(missing).join(seen, "target_path").where("s_ = size_bytes")
+    meta = "coalesce(try_cast(try_parse_json(meta_json) as map<string, variant>), cast(map() as map<string, variant>))"
+    finger = f"coalesce(try_cast({meta}['fingerprint'] as map<string, variant>), cast(map() as map<string, variant>))"
+    told = "map('size_bytes', cast(s_ as variant), 'modified_at', cast(m_ as variant))"
+    finger = f"map_concat(map_filter({finger}, (k, v) -> k not in ('size_bytes', 'modified_at')), {told})"
+    return own.select("id", F.expr(f"to_json(map_concat(map_filter({meta}, (k, v) -> k <> 'fingerprint'), map('fingerprint', to_variant_object({finger}))))").alias("meta_json"))
 
 
 def reset_low_keypoints(items: DataFrame, cache: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:

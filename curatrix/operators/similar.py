@@ -16,18 +16,17 @@ WHOLE = 200_000
 def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id and the 64-bit simhash of a text's distinct lower-case tokens.
 
-    Votes are counted four to a long, in 16-bit lanes, so a row carries 16 sums and not 64.
-    A text may have 65,535 different tokens.
+    Votes are counted two to a long, in 32-bit lanes, so a row carries 32 sums and not 64.
     """
     tokens = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda t: t != ""))
     rows = docs.select(F.col(doc_id).alias("id"), F.explode_outer(tokens).alias("t"))
     rows = rows.select("id", F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 16), 16, -10).cast("long").alias("h"))
-    lanes = F.lit(0x0001000100010001)
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(lanes)).alias(f"c{k}") for k in range(16)]
+    lanes = F.lit(0x0000000100000001)
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(lanes)).alias(f"c{k}") for k in range(32)]
     counted = rows.groupBy("id").agg(F.count("h").alias("n"), *sums)
     out = F.lit(0).cast("long")
     for b in range(64):
-        count = F.shiftrightunsigned(f"c{b % 16}", 16 * (b // 16)).bitwiseAND(F.lit(0xFFFF))
+        count = F.shiftrightunsigned(f"c{b % 32}", 32 * (b // 32)).bitwiseAND(F.lit(0xFFFFFFFF))
         out = out.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
     return counted.select("id", out.alias("h"))
 

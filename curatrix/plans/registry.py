@@ -66,7 +66,9 @@ def present_hashed_filter(spark, d):
     return dedup.present_and_hashed(view(spark, d, "media_items")).select("id", "exact_hash")
 
 
-_RAW = ", ".join(f"'{m}'" for m in X.RAW_TYPES)
+# Fixed values, written out here again so that the SQL doesn't share the operators' constants.
+_RAW = """'image/x-sony-arw', 'image/x-sony-sr2', 'image/x-canon-cr2', 'image/x-canon-cr3', 'image/x-nikon-nef', 'image/x-nikon-nrw', 'image/x-adobe-dng',
+    'image/x-fuji-raf', 'image/x-olympus-orf', 'image/x-panasonic-rw2', 'image/x-pentax-pef', 'image/x-sigma-x3f', 'image/x-hasselblad-3fr', 'image/x-raw'"""
 
 
 @query(f"SELECT id, lower(trim(mime_type)) LIKE 'image/%' AS visual, lower(trim(mime_type)) IN ({_RAW}) AS raw, mime_type IN ('', 'application/octet-stream', 'application/x-empty', 'inode/x-empty') AS generic FROM media_items")
@@ -117,12 +119,12 @@ _FINGER = """CASE WHEN meta_json LIKE '%"modified_at":"%' THEN regexp_extract(me
 
 
 @query(f"""SELECT l.target_path, l.size_bytes, l.modified_at, coalesce(l.size_bytes = m.size_bytes AND l.modified_at = {_FINGER} AND m.exact_hash <> '' AND m.created_at <> '', false) AS skip
-    FROM (SELECT target_path, CASE WHEN id % 7 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, CAST(n AS STRING) AS modified_at FROM media_items WHERE id % 2 = 0) l
-    LEFT JOIN (SELECT * FROM media_items WHERE id % 3 <> 0) m USING (target_path)""")
+    FROM (SELECT target_path, CASE WHEN id % 7 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, CAST(n AS STRING) AS modified_at FROM media_items) l
+    LEFT JOIN (SELECT * FROM media_items) m USING (target_path)""")
 def unchanged_skip(spark, d):
     m = view(spark, d, "media_items")
-    listing = m.where("id % 2 = 0").select("target_path", F.expr("case when id % 7 = 0 then size_bytes + 1 else size_bytes end").alias("size_bytes"), F.col("n").cast("string").alias("modified_at"))
-    return catalog.unchanged(listing, m.where("id % 3 <> 0"))
+    listing = m.select("target_path", F.expr("case when id % 7 = 0 then size_bytes + 1 else size_bytes end").alias("size_bytes"), F.col("n").cast("string").alias("modified_at"))
+    return catalog.unchanged(listing, m)
 
 
 _TAKE = "s.feature_version IS NOT NULL AND (d.status IS NULL OR d.status IN ('pending', 'decode_error') OR s.status NOT IN ('pending', 'decode_error'))"
@@ -209,9 +211,9 @@ def hamming_pairs_embeddings(spark, d):
     return similar.hamming_pairs(similar.sign_hash(spark.read.parquet(f"{d}/embeddings.parquet")), NEAR_VECTORS)
 
 
-@query(f"WITH {VEC} SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM vh x JOIN vh y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 11")
+@query(f"WITH {SIM}, {PAIRS} SELECT a, b, distance FROM pairs")
 def hamming_pairs_indexed(spark, d):
-    return similar.hamming_pairs(materialize(similar.sign_hash(spark.read.parquet(f"{d}/embeddings.parquet")), "signs"), 11, method="index")
+    return similar.hamming_pairs(sims(spark, d), NEAR, method="index")
 
 
 @query(f"WITH {SIM}, {PAIRS} SELECT distance, count(*) AS n_pairs FROM pairs GROUP BY distance")
@@ -308,6 +310,8 @@ def group_snapshot_summary(spark, d):
 
 
 def families_sql(items: str) -> str:
+    if items == "group_items":
+        items = "(SELECT * FROM group_items WHERE group_id IS NULL AND (instr(target_path, '/.catalog/trash/') = 0 OR instr(target_path, '/.catalog/trash/filename-group-') > 0)) g"
     tails = "b0"
     for tail in (r"_(shotwell|embedded(_[0-9]+)*)$", r"_(arw|cr2|jpg|jpeg|png)$", r"-[0-9]+$"):
         tails = f"regexp_replace({tails}, '{tail}', '')"
@@ -467,13 +471,14 @@ def loose_datetime(spark, d):
     return m.select("id", X.rfc3339(X.loose_time(F.col("t"))).alias("loose"), X.rfc3339(X.quicktime_time(F.col("id") * 100000)).alias("quicktime"), X.rfc3339(X.matroska_time(F.col("id") * F.lit(1_000_000_000_000))).alias("matroska"))
 
 
-_EXT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.EXTENSIONS.items())
+_EXT = """WHEN 'mov' THEN 'video/quicktime' WHEN 'qt' THEN 'video/quicktime' WHEN 'mp4' THEN 'video/mp4' WHEN 'm4v' THEN 'video/mp4' WHEN '3gp' THEN 'video/3gpp' WHEN '3g2' THEN 'video/3gpp2'
+    WHEN 'mkv' THEN 'video/x-matroska' WHEN 'webm' THEN 'video/webm' WHEN 'mts' THEN 'video/mp2t' WHEN 'm2ts' THEN 'video/mp2t' WHEN 'avi' THEN 'video/x-msvideo' WHEN 'mxf' THEN 'application/mxf'"""
 
 
 @query(f"""SELECT id, CASE WHEN mime_type = '' THEN coalesce(CASE lower(regexp_extract(path, '\\.([^.]+)$', 1)) {_EXT} END, mime_type) ELSE mime_type END AS mime_type
-    FROM (SELECT id, mime_type, CASE WHEN id % 4 = 0 THEN target_path || '.MOV' WHEN id % 4 = 1 THEN target_path || '.mkv' ELSE target_path END AS path FROM media_items)""")
+    FROM (SELECT id, mime_type, CASE WHEN id % 4 = 0 THEN target_path || '.MOV' WHEN id % 4 = 1 THEN target_path || '.m4v' ELSE target_path END AS path FROM media_items)""")
 def mime_fallback(spark, d):
-    m = view(spark, d, "media_items").withColumn("path", F.expr("case when id % 4 = 0 then target_path || '.MOV' when id % 4 = 1 then target_path || '.mkv' else target_path end"))
+    m = view(spark, d, "media_items").withColumn("path", F.expr("case when id % 4 = 0 then target_path || '.MOV' when id % 4 = 1 then target_path || '.m4v' else target_path end"))
     return m.select("id", X.mime_or_extension(F.col("mime_type"), F.col("path")).alias("mime_type"))
 
 
@@ -493,13 +498,13 @@ def missing_marking(spark, d):
     return catalog.marked_missing(m, m.where("id % 4 <> 1"))
 
 
-@query(f"""WITH u AS {_once('group_items')}, old AS (SELECT * FROM u WHERE id % 3 <> 0), new AS (SELECT target_path, size_bytes + 1 AS size_bytes, CASE WHEN id % 5 = 2 THEN '' ELSE created_at END AS created_at FROM u WHERE id % 2 = 0)
+@query(f"""WITH u AS {_once('group_items')}, old AS (SELECT * FROM u WHERE id % 3 <> 0), new AS (SELECT target_path, size_bytes + 1 AS size_bytes, CASE WHEN id % 5 = 2 THEN '' ELSE created_at END AS created_at FROM u WHERE id % 2 = 0 OR id % 3 = 0)
     SELECT coalesce(o.id, (SELECT max(id) FROM old) + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY target_path)) AS id, target_path, CASE WHEN n.size_bytes IS NOT NULL THEN n.size_bytes ELSE o.size_bytes END AS size_bytes,
            coalesce(nullif(n.created_at, ''), o.created_at, '') AS created_at, o.group_id, coalesce(o.keep_state, 'undecided') AS keep_state, coalesce(o.group_status, 'pending') AS group_status
     FROM old o FULL JOIN new n USING (target_path)""")
 def catalog_upsert(spark, d):
     u = unique_paths(view(spark, d, "group_items"))
-    new = u.where("id % 2 = 0").withColumn("size_bytes", F.col("size_bytes") + 1).withColumn("created_at", F.expr("case when id % 5 = 2 then '' else created_at end"))
+    new = u.where("id % 2 = 0 or id % 3 = 0").withColumn("size_bytes", F.col("size_bytes") + 1).withColumn("created_at", F.expr("case when id % 5 = 2 then '' else created_at end"))
     return catalog.upserted(u.where("id % 3 <> 0"), new).select("id", "target_path", "size_bytes", "created_at", "group_id", "keep_state", "group_status")
 
 
@@ -548,4 +553,4 @@ def descriptor_sets(vectors: DataFrame) -> DataFrame:
 def descriptor_confirm(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet")
     pairs = v.select(F.col("vec_id").alias("a")).withColumn("b", F.explode(F.array(F.col("a") + 1, F.col("a") + 2))).withColumn("distance", (F.col("a") % 20).cast("int"))
-    return confirm.confirm_pairs(pairs.where("a % 2 = 0"), descriptor_sets(v))
+    return confirm.confirm_pairs(pairs, descriptor_sets(v))

@@ -210,3 +210,55 @@ def test_region_refresh(spark):
 def test_group_report(spark):
     df = spark.createDataFrame([(1, 7, "h", "image/png", 1, 2, 3), (2, 7, "h", "image/png", 4, 5, 6), (3, None, "i", "", 1, 1, 1)], "id long, group_id long, exact_hash string, mime_type string, width long, height long, size_bytes long")
     assert tuple(analytics.group_summary(df).first()) == (7, 2, 1, 1, 1, 4, 2, 5, 3, 6)
+
+
+def test_simhash_of_very_many_tokens(spark):
+    import hashlib
+
+    from curatrix.operators import similar
+
+    tokens = [f"t{i}" for i in range(150_000)]
+    got = similar.simhash(spark.createDataFrame([(1, " ".join(tokens)), (2, None), (3, "a a b")], "doc_id long, text string")).collect()
+    hashes = [int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in tokens]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert {r.id: r.h % 2**64 for r in got}[1] == want and len(got) == 3
+
+
+def test_times_in_whole_numbers(spark):
+    from curatrix.functions import containers
+    from curatrix.functions import expr as X
+
+    rows = [1699999999999999999, -1, 0, 1700000000123000000]
+    got = [r.x for r in spark.createDataFrame([(n,) for n in rows], "n long").select(X.nanos_rfc3339(F.col("n")).alias("x")).collect()]
+    assert got == ["2023-11-14T22:13:19.999999999+00:00", "1969-12-31T23:59:59.999999999+00:00", "1970-01-01T00:00:00+00:00", "2023-11-14T22:13:20.123+00:00"]
+    forms = {
+        "2024-01-02 03:04:05.678901234": "2024-01-02T03:04:05.678901+00:00", "2024-01-02T03:04:05.5": "2024-01-02T03:04:05.500+00:00",
+        "2024-01-02T03:04:05.25+02:00": "2024-01-02T01:04:05.250+00:00", "2024-01-02T03:04:05Z": "2024-01-02T03:04:05+00:00", "2024:01:02 03:04:05": "2024-01-02T03:04:05+00:00",
+        "2024-01-02": "2024-01-02T00:00:00+00:00", "2024/01/02 03:04:05": None, "20240102T030405": None, "": None, "\0 2024-01-02 03:04:05\0": "2024-01-02T03:04:05+00:00",
+    }
+    got = spark.createDataFrame([(t,) for t in forms], "t string").select("t", X.rfc3339(X.loose_time(F.col("t"))).alias("x")).collect()
+    assert {r.t: r.x for r in got} == forms
+    assert {t: (x := containers.loose_time(t)) and x.strftime("%Y-%m-%dT%H:%M:%S") for t in forms} == {t: x and x[:19] for t, x in forms.items()}
+    micros = spark.createDataFrame([(715593600123456789,)], "n long").select(X.rfc3339(X.matroska_time(F.col("n"))).alias("x")).first().x
+    assert micros.endswith(".123456+00:00")
+
+
+def test_refingerprinted_keeps_other_keys(spark):
+    import json
+
+    from curatrix.operators import catalog
+
+    meta = ['{"camera":"x","n":[1,{"a":null}],"fingerprint":{"size_bytes":1,"other":2}}', "no json", "{}", None, '{"fingerprint":{"modified_at":"t0"}}', '{"camera":"y"}', "[1]"]
+    items = spark.createDataFrame([(i, f"p{i}", 7, m) for i, m in enumerate(meta)], "id long, target_path string, size_bytes long, meta_json string")
+    listing = spark.createDataFrame([(f"p{i}", "t1", 7 if i != 5 else 8) for i in range(7)], "target_path string, modified_at string, size_bytes long")
+    got = {r.id: json.loads(r.meta_json) for r in catalog.refingerprinted(items, listing).collect()}
+    plain = {"fingerprint": {"size_bytes": 7, "modified_at": "t1"}}
+    assert got == {0: {"camera": "x", "n": [1, {"a": None}], "fingerprint": {"other": 2, "size_bytes": 7, "modified_at": "t1"}}, 1: plain, 2: plain, 3: plain, 6: plain}
+
+
+def test_name_review_leaves_out_grouped_rows(spark):
+    from curatrix.operators import families
+
+    rows = [(1, "repo/IMG_1.JPG", None), (2, "repo/defaultimg_1-2.jpg", 5), (3, "repo/.catalog/trash/group-1/IMG_1.JPG", None), (4, "repo/.catalog/trash/filename-group-9/IMG_1.JPG", None)]
+    df = spark.createDataFrame([(i, p, g, 4, 3) for i, p, g in rows], "id long, target_path string, group_id long, width int, height int")
+    assert sorted(r.id for r in families.candidates(df).collect()) == [1, 4]
