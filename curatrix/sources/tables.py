@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset on one machine (tests) a temporary folder is made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         return told.rstrip("/")
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="curatrix-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
