@@ -122,6 +122,11 @@ def trash_folder(group_id: Column) -> Column:
     return F.when(group_id < 0, F.concat(F.lit("filename-group-"), F.abs(group_id).cast("string"))).otherwise(F.concat(F.lit("group-"), group_id.cast("string")))
 
 
+def in_trash_of(path: Column, group_id: Column) -> Column:
+    """Whether a path lies in its group's own trash."""
+    return F.contains(path, F.concat(F.lit(TRASH), trash_folder(group_id), F.lit("/")))
+
+
 def operation_name(group_id: Column) -> Column:
     return F.when(group_id < 0, "resolve_filename_group").otherwise("resolve_group")
 
@@ -260,3 +265,16 @@ def retryable(status: Column) -> Column:
 def reusable(status: Column, keypoints: Column, version: Column) -> Column:
     """Whether a cached feature row needn't be computed again."""
     return (version == FEATURE_VERSION) & ~retryable(status) & ((status != "ready") | (F.coalesce(keypoints, F.lit(0)) >= LEAST_KEYPOINTS))
+
+
+def wants_retry(status: Column, keypoints: Column) -> Column:
+    """Whether a sparse extraction is tried again with the default settings."""
+    few = F.coalesce(keypoints, F.lit(0)) < LEAST_KEYPOINTS
+    return (status == "no_keypoints") | ((status == "ready") & few)
+
+
+def extraction_choice(status: Column, keypoints: Column, retried: Column, retried_keypoints: Column) -> Column:
+    """Of a sparse extraction and its retry: 'retry' where that found more or the sparse one found nothing, 'none' where the sparse one found too few, else 'sparse'."""
+    a, b = F.coalesce(keypoints, F.lit(0)), F.coalesce(retried_keypoints, F.lit(0))
+    choice = F.when((retried == "ready") & (b > a), "retry").when((status == "ready") & (a > 0) & (a < LEAST_KEYPOINTS), "none")
+    return F.when(~wants_retry(status, keypoints), "sparse").otherwise(choice.when(status == "no_keypoints", "retry").otherwise("sparse"))

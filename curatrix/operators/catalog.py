@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions import expr as X
+from curatrix.operators.primary import catalog_primary
 
 FACTS = ("size_bytes", "mime_type", "exact_hash", "width", "height")
 
@@ -95,6 +96,39 @@ def vanished(items: DataFrame, listing: DataFrame) -> DataFrame:
     return items.join(listing.select("target_path"), "target_path", "left_anti")
 
 
+def pending(items: DataFrame) -> DataFrame:
+    """The rows that a grouping run still has to do; one that was interrupted goes on with them."""
+    return items.where("group_status = 'pending'")
+
+
+def completed(items: DataFrame, done: DataFrame) -> DataFrame:
+    """items with the rows of done marked completed."""
+    d = done.select("id", F.lit(True).alias("done_")).distinct()
+    status = F.when(F.col("done_"), "completed").otherwise(F.col("group_status"))
+    return items.join(d, "id", "left").withColumn("group_status", status).select(*items.columns)
+
+
+def pruned(items: DataFrame, listing: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, cache) without rows whose file has vanished and without the cache rows that only those used.
+
+    Of the groups that lost rows, lone members leave and the others get their primary anew by the catalog's rule.
+    """
+    key, gone = ["exact_hash", "size_bytes"], vanished(items, listing)
+    left = items.join(listing.select("target_path"), "target_path", "left_semi")
+    hit = gone.where("group_id is not null").select("group_id").distinct()
+    own = left.join(hit, "group_id", "left_semi")
+    by = own.groupBy("group_id").agg(F.count("*").alias("n_")).join(catalog_primary(own), "group_id")
+    met = left.join(by, "group_id", "left")
+    lone = F.coalesce(F.col("n_") == 1, F.lit(False))
+    new = {
+        "group_id": F.when(~lone, F.col("group_id")),
+        "keep_state": F.when(lone, "undecided").otherwise(F.col("keep_state")),
+        "is_group_primary": F.when(lone, False).when(F.col("n_") > 1, F.col("id") == F.col("primary_id")).otherwise(F.col("is_group_primary")),
+    }
+    unused = gone.select(*key).distinct().join(left.select(*key), key, "left_anti")
+    return met.select(*[new[c].alias(c) if c in new else F.col(c) for c in items.columns]), cache.join(unused, key, "left_anti")
+
+
 def unchanged(listing: DataFrame, items: DataFrame) -> DataFrame:
     """listing with whether size and modification time are those the catalog holds, so the file needn't be read."""
     own = items.select("target_path", F.col("size_bytes").alias("s_"), X.fingerprint_time(F.col("meta_json")).alias("m_"), "exact_hash", "created_at")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.functions import expr as X
+from curatrix.operators import naming
 
 
 def present_and_hashed(items: DataFrame) -> DataFrame:
@@ -37,25 +37,17 @@ def new_canonicals(items: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def target_paths(items: DataFrame, root: str, as_of: str, existing: DataFrame | None = None) -> DataFrame:
-    """id and the path each new row gets: root/date/safe name, with -1, -2 ... where names meet, in order of content."""
-    name = X.safe_name(X.base_name(F.col("target_path")))
-    rows = items.select("id", "exact_hash", X.date_folder(F.col("created_at"), as_of).alias("folder"), name.alias("name"))
-    n = F.row_number().over(W.partitionBy("folder", "name").orderBy("exact_hash", "id")) - 1
-    if existing is not None:
-        held = existing.select(F.regexp_extract("target_path", rf"^{root}/(.*)/[^/]*\z", 1).alias("folder"), F.regexp_replace(X.base_name(F.col("target_path")), r"-[0-9]+(?=\.[^.]*\z)", "").alias("name"))
-        rows = rows.join(held.groupBy("folder", "name").agg(F.count("*").alias("held")), ["folder", "name"], "left")
-        n = n + F.coalesce(F.col("held"), F.lit(0))
-    rows = rows.withColumn("n", n)
-    ext = F.regexp_extract("name", r"(\.[^.]*)\z", 1)
-    bare = F.regexp_replace("name", r"\.[^.]*\z", "")
-    numbered = F.when(F.col("n") == 0, F.col("name")).otherwise(F.concat(bare, F.lit("-"), F.col("n").cast("string"), ext))
-    return rows.select("id", F.concat(F.lit(f"{root}/"), F.col("folder"), F.lit("/"), numbered).alias("new_path"))
-
-
-def trash_paths(members: DataFrame, root: str) -> DataFrame:
-    """id and the path in its group's trash, with 1-, 2- ... in front where names meet."""
+    """id and the path each new row gets: root/date/safe name, with -1, -2 ... where names meet (naming.freed), in order of content."""
+    rows = items.select("id", "exact_hash", X.date_folder(F.col("created_at"), as_of).alias("folder"), X.safe_name(X.base_name(F.col("target_path"))).alias("name"))
+    held = None if existing is None else naming.located(existing, f"{root}/")
+    out = naming.freed(rows, held, ["exact_hash", "id"])
+    return out.select("id", F.concat(F.lit(f"{root}/"), F.col("folder"), F.lit("/"), F.col("free")).alias("new_path"))
+
+
+def trash_paths(members: DataFrame, root: str, existing: DataFrame | None = None) -> DataFrame:
+    """id and the path in its group's trash: its safe name, with 1-, 2- ... in front where names meet or are in the trash already."""
     folder = X.trash_folder(F.coalesce("group_id", -F.col("id")))
-    rows = members.select("id", folder.alias("folder"), X.base_name(F.col("target_path")).alias("name"))
-    n = F.row_number().over(W.partitionBy("folder", "name").orderBy("id")) - 1
-    rows = rows.withColumn("n", n)
-    return rows.select("id", F.concat(F.lit(f"{root}{X.TRASH}"), F.col("folder"), F.lit("/"), F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit("-"))).otherwise(""), F.col("name")).alias("trash_path"))
+    rows = members.select("id", folder.alias("folder"), X.safe_name(X.base_name(F.col("target_path"))).alias("name"))
+    held = None if existing is None else naming.located(existing, f"{root}{X.TRASH}")
+    out = naming.freed(rows, held, ["id"], style="prefix")
+    return out.select("id", F.concat(F.lit(f"{root}{X.TRASH}"), F.col("folder"), F.lit("/"), F.col("free")).alias("trash_path"))

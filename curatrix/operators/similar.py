@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.functions import expr as X
@@ -47,17 +48,20 @@ def _masks(width: int, most: int) -> list[int]:
 def hamming_pairs(items: DataFrame, most: int, method: str = "auto") -> DataFrame:
     """(a, b, distance), a < b, of rows (id, h and, if there, exact_hash) at most ``most`` bits apart.
 
-    Rows of equal content are no pairs.  A counted small side goes to all tasks; beyond that
+    Rows of equal content are no pairs, nor, where there is phash_bits, rows whose hashes differ in it or have none.  A counted small side goes to all tasks; beyond that
     rows meet by multi-index hashing: of four 16-bit bands one differs in at most most // 4 bits,
     so each row is dealt out under its bands and looked up under their near variants.
     """
     items = items.where("h is not null")
     if "exact_hash" not in items.columns:
         items = items.withColumn("exact_hash", F.lit(None).cast("string"))
-    left = items.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("exact_hash").alias("xa"))
-    right = items.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("exact_hash").alias("xb"))
+    bits = F.lit(64)
+    if "phash_bits" in items.columns:
+        items, bits = items.where("phash_bits > 0"), F.col("phash_bits")
+    left = items.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("exact_hash").alias("xa"), bits.alias("na"))
+    right = items.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("exact_hash").alias("xb"), bits.alias("nb"))
     distance = X.hamming(F.col("ha"), F.col("hb"))
-    wanted = (F.col("a") < F.col("b")) & (distance <= most) & ~F.coalesce(F.col("xa") == F.col("xb"), F.lit(False))
+    wanted = (F.col("a") < F.col("b")) & (F.col("na") == F.col("nb")) & (distance <= most) & ~F.coalesce(F.col("xa") == F.col("xb"), F.lit(False))
     if method == "whole" or method == "auto" and items.count() <= WHOLE:
         return left.join(F.broadcast(right), wanted).select("a", "b", distance.cast("int").alias("distance"))
     band = lambda h, n: F.shiftrightunsigned(h, 16 * n).bitwiseAND(F.lit(0xFFFF))
@@ -73,6 +77,16 @@ def _variant(key, band, k: int):
     return lambda m: key(k, band("ha", k).bitwiseXOR(m))
 
 
+def candidates(pairs: DataFrame, pending: DataFrame) -> DataFrame:
+    """(id, other, distance, rank, older) of the pending rows' candidates, nearest first, ties by id.
+
+    A run over the catalog asks for all of them, an import only for those older than the row.
+    """
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "distance").union(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "distance"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
+    return both.join(pending.select("id"), "id", "left_semi").withColumn("rank", rank).withColumn("older", F.col("other") < F.col("id"))
+
+
 def histogram(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("distance").agg(F.count("*").alias("n_pairs"))
 

@@ -228,6 +228,16 @@ def prewarm_candidates(spark, d):
     return similar.prewarm(items, similar.hamming_pairs(items, NEAR), items.where("id % 3 = 0"))
 
 
+@query(f"""WITH {SIM}, {PAIRS}, sized AS (SELECT id, CASE WHEN size_bytes % 2 = 0 THEN 64 ELSE 256 END AS n, mime_type = 'text/plain' AS pending FROM doc_items),
+    same AS (SELECT p.* FROM pairs p JOIN sized x ON x.id = p.a JOIN sized y ON y.id = p.b AND x.n = y.n), both_ AS (SELECT a AS id, b AS other, distance FROM same UNION ALL SELECT b, a, distance FROM same)
+    SELECT id, other, distance, (row_number() OVER (PARTITION BY id ORDER BY distance, other))::INT AS rank, other < id AS older FROM both_ JOIN sized USING (id) WHERE pending""")
+def pending_candidates(spark, d):
+    """Documents in English stand for the pending rows; hashes of even and odd sizes have different widths."""
+    items = sims(spark, d).withColumn("phash_bits", F.expr("case when size_bytes % 2 = 0 then 64 else 256 end"))
+    pairs = similar.hamming_pairs(items, NEAR)
+    return similar.candidates(pairs, items.where("mime_type = 'text/plain'"))
+
+
 @query(f"WITH RECURSIVE {SIM}, {PAIRS}, {COMPONENTS} SELECT id, component FROM comp")
 def near_dup_components(spark, d):
     return connected_components(similar.hamming_pairs(sims(spark, d), NEAR))
@@ -384,14 +394,21 @@ def unique_paths(items: DataFrame) -> DataFrame:
 
 
 def decisions(g: DataFrame) -> DataFrame:
-    """Decisions by id, with a path in both lists in some groups and an unknown path in others."""
-    own = g.where("group_id is not null and group_id % 2 = 0").groupBy("group_id").agg(F.sort_array(F.collect_list(F.when(F.col("id") % 3 == 0, F.col("target_path")))).alias("kept"), F.sort_array(F.collect_list(F.when(F.col("id") % 3 == 1, F.col("target_path")))).alias("rejected"))
+    """Decisions by id, with a path in both lists in some groups, an unknown path or primary in others, and a kept primary in every second."""
+    pick = lambda n: F.sort_array(F.collect_list(F.when(F.col("id") % 3 == n, F.col("target_path"))))
+    own = g.where("group_id is not null").groupBy("group_id").agg(pick(0).alias("kept"), pick(1).alias("rejected"))
     kept = F.when(F.col("group_id") % 10 == 4, F.concat("kept", "rejected")).otherwise(F.col("kept"))
-    return own.select("group_id", kept.alias("kept"), F.when(F.col("group_id") % 14 == 6, F.concat("rejected", F.array(F.lit("nowhere")))).otherwise(F.col("rejected")).alias("rejected"))
+    rejected = F.when(F.col("group_id") % 14 == 6, F.concat("rejected", F.array(F.lit("nowhere")))).otherwise(F.col("rejected"))
+    primary = F.when(F.col("group_id") % 22 == 8, F.lit("nowhere")).when(F.col("group_id") % 4 == 0, F.get("kept", F.lit(0)))
+    return own.select("group_id", kept.alias("kept"), rejected.alias("rejected"), primary.alias("primary"))
 
 
-_RESOLVED = f"""once AS {_once("group_items")}, own AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'kept' WHEN id % 3 = 1 THEN 'rejected' END AS to_ FROM once WHERE group_id IS NOT NULL AND group_id % 2 = 0),
-    res AS (SELECT group_id, (group_id % 10 = 4 AND count(*) FILTER (to_ = 'rejected') > 0) OR group_id % 14 = 6 AS failed, count(*) FILTER (to_ IS NOT NULL AND keep_state <> to_) AS n FROM own GROUP BY 1),
+_RESOLVED = f"""once AS {_once("group_items")}, own AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'kept' WHEN id % 3 = 1 THEN 'rejected' ELSE 'undecided' END AS to_ FROM once WHERE group_id IS NOT NULL),
+    firsts AS (SELECT group_id, min(target_path) FILTER (to_ = 'kept') AS first_kept FROM own GROUP BY 1),
+    after_ AS (SELECT o.*, coalesce(o.group_id % 4 = 0 AND o.target_path = first_kept, false) AS prime, to_ = 'rejected' AND NOT contains(target_path, '/.catalog/trash/group-' || o.group_id::VARCHAR || '/') AS moves
+               FROM own o JOIN firsts USING (group_id)),
+    res AS (SELECT group_id, (group_id % 10 = 4 AND count(*) FILTER (to_ = 'rejected') > 0) OR group_id % 14 = 6 OR group_id % 22 = 8 AS failed,
+                   count(*) FILTER (keep_state <> to_ OR prime <> is_group_primary OR moves) AS n FROM after_ GROUP BY 1),
     out_ AS (SELECT group_id, CASE WHEN failed THEN 'failed' WHEN n = 0 THEN 'skipped' ELSE 'applied' END AS outcome, CASE WHEN failed THEN 0 ELSE n END AS n_changed FROM res)"""
 
 
@@ -406,10 +423,52 @@ def resolve_outcomes(spark, d):
     return review.outcomes(resolve_decisions(spark, d))
 
 
-@query(f"WITH {_RESOLVED} SELECT i.id, CASE WHEN o.outcome = 'applied' THEN coalesce(w.to_, i.keep_state) ELSE i.keep_state END AS keep_state FROM once i LEFT JOIN own w ON w.id = i.id LEFT JOIN out_ o ON o.group_id = i.group_id")
+def _free(style: str, order: str) -> str:
+    """CTEs that give ``placed`` (id, folder, name, free) from ``rows_`` (id, folder, name and order) and ``taken`` (folder, name): numbers are tried one by one."""
+    ext = "CASE WHEN regexp_matches(name, '^.+\\.[^.]+$') THEN regexp_extract(name, '^.+(\\.[^.]+)$', 1) ELSE '' END"
+    bare = "CASE WHEN regexp_matches(name, '^.+\\.[^.]*$') THEN regexp_extract(name, '^(.+)\\.[^.]*$', 1) ELSE name END"
+    tried = f"{bare} || '-' || s::VARCHAR || {ext}" if style == "suffix" else "s::VARCHAR || '-' || name"
+    return f"""held AS (SELECT DISTINCT folder, name, 1 AS h FROM taken),
+    placed_k AS (SELECT r.*, row_number() OVER (PARTITION BY folder, name ORDER BY {order}) - 1 + coalesce(h, 0) AS k FROM rows_ r LEFT JOIN held USING (folder, name)),
+    used AS (SELECT folder, name FROM held UNION SELECT folder, name FROM rows_), sizes AS (SELECT folder, count(*) AS c FROM used GROUP BY 1),
+    need AS (SELECT folder, name, max(k) AS most FROM placed_k GROUP BY ALL HAVING max(k) > 0), tries AS (SELECT folder, name, unnest(range(1, most + c + 1)) AS s FROM need JOIN sizes USING (folder)),
+    made AS (SELECT folder, name, s, {tried} AS free FROM tries), open_ AS (SELECT m.*, row_number() OVER (PARTITION BY folder, name ORDER BY s) AS k FROM made m
+             WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.folder = m.folder AND u.name = m.free)),
+    placed AS (SELECT p.id, p.folder, p.name, CASE WHEN p.k = 0 THEN p.name ELSE o.free END AS free FROM placed_k p LEFT JOIN open_ o ON o.folder = p.folder AND o.name = p.name AND o.k = p.k)"""
+
+
+def _below(items: str, root: str) -> str:
+    return f"SELECT regexp_replace(p, '/[^/]*$', '') AS folder, string_split(p, '/')[-1] AS name FROM (SELECT substr(target_path, {len(root) + 1}) AS p FROM {items} WHERE starts_with(target_path, '{root}')) b WHERE contains(p, '/')"
+
+
+_SAFE = "regexp_replace({x}, '[^A-Za-z0-9._-]', '_', 'g')"
+_NAME = _SAFE.format(x="string_split(target_path, '/')[-1]")
+
+
+@query(f"""WITH {_RESOLVED}, act AS (SELECT a.* FROM after_ a JOIN out_ o ON o.group_id = a.group_id AND o.outcome = 'applied'),
+    rows_ AS (SELECT id, 'group-' || group_id::VARCHAR AS folder, {_NAME} AS name FROM act WHERE moves), taken AS ({_below("once", "repo" + T)}), {_free("prefix", "id")}
+    SELECT i.id, coalesce(a.to_, i.keep_state) AS keep_state, coalesce(a.prime, i.is_group_primary) AS is_group_primary, coalesce('repo{T}' || p.folder || '/' || p.free, i.target_path) AS target_path
+    FROM once i LEFT JOIN act a ON a.id = i.id LEFT JOIN placed p ON p.id = i.id""")
 def resolve_states(spark, d):
     g = unique_paths(view(spark, d, "group_items"))
-    return review.decided(g, decisions(g), "repo").select("id", "keep_state")
+    return review.decided(g, decisions(g), "repo").select("id", "keep_state", "is_group_primary", "target_path")
+
+
+@query(f"""WITH once AS {_once("group_items")}, a AS (SELECT id, CASE WHEN id % 2 = 0 THEN coalesce(group_id, -id) ELSE -id END AS g, target_path, group_id FROM once),
+    grouped AS (SELECT DISTINCT g.g AS review_group_id, o.id FROM a g JOIN once o ON o.group_id = g.g WHERE g.g >= 0), named AS (SELECT g AS review_group_id, id FROM a WHERE g < 0),
+    below AS (SELECT a.g, o.id FROM a JOIN once o ON a.g < 0 AND starts_with(o.target_path, 'repo{FT}' || (-a.g)::VARCHAR || '/'))
+    SELECT review_group_id, id FROM grouped UNION SELECT * FROM named UNION SELECT * FROM below""")
+def decision_members(spark, d):
+    """Decisions about a group of the catalog for rows of even ids, about a group of the name review for others."""
+    g = unique_paths(view(spark, d, "group_items"))
+    said = g.select(F.when(F.col("id") % 2 == 0, F.coalesce("group_id", -F.col("id"))).otherwise(-F.col("id")).alias("group_id"), F.array("target_path").alias("kept"))
+    said = said.groupBy("group_id").agg(F.flatten(F.collect_list("kept")).alias("kept")).withColumn("rejected", F.array().cast("array<string>"))
+    return review.decision_members(g, said, "repo")
+
+
+@query(f"""SELECT group_id, bool_or(contains(target_path, '{T}')) AS in_trash_review, bool_or(keep_state = 'undecided') AS in_pending_review FROM group_items WHERE group_id IS NOT NULL GROUP BY 1""")
+def review_modes(spark, d):
+    return review.matches_mode(view(spark, d, "group_items"))
 
 
 @query(f"""WITH gone AS (SELECT id, group_id FROM group_items WHERE contains(target_path, '{T}') AND id % 2 = 0),
@@ -425,27 +484,82 @@ def _folder(as_of: str = AS_OF) -> str:
     return f"CASE WHEN created_at = '' THEN '{as_of.replace('-', '/')}' ELSE replace(substr(created_at, 1, 10), '-', '/') END"
 
 
-_NUMBERED = "CASE WHEN n = 0 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || '-' || n::VARCHAR || regexp_extract(name, '(\\.[^.]*)$', 1) END"
-_SAFE = "regexp_replace({x}, '[^A-Za-z0-9._-]', '_', 'g')"
-
-
-@query(f"""SELECT id, 'repo/' || folder || '/' || {_NUMBERED} AS restored_path FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) - 1 AS n FROM
-    (SELECT id, {_folder()} AS folder, {_SAFE.format(x="regexp_replace(string_split(target_path, '/')[-1], '^[0-9]+-', '')")} AS name FROM group_items WHERE contains(target_path, '{T}')))""")
+@query(f"""WITH rows_ AS (SELECT id, {_folder()} AS folder, {_NAME} AS name FROM group_items WHERE contains(target_path, '{T}')),
+    taken AS ({_below(f"(SELECT * FROM group_items WHERE NOT contains(target_path, '{T}')) g", "repo/")}), {_free("suffix", "id")},
+    bare AS (SELECT group_id, arg_max(id, row(width * height, size_bytes, -id)) AS id FROM group_items WHERE group_id IS NOT NULL GROUP BY 1 HAVING bool_or(contains(target_path, '{T}')) AND NOT bool_or(is_group_primary))
+    SELECT i.id, coalesce('repo/' || p.folder || '/' || p.free, i.target_path) AS target_path, CASE WHEN p.id IS NOT NULL THEN 'kept' ELSE i.keep_state END AS keep_state, b.id IS NOT NULL OR i.is_group_primary AS is_group_primary
+    FROM group_items i LEFT JOIN placed p ON p.id = i.id LEFT JOIN bare b ON b.id = i.id WHERE p.id IS NOT NULL OR b.id IS NOT NULL""")
 def restore_paths(spark, d):
-    return review.restored(view(spark, d, "group_items"), "repo", AS_OF)
+    """Everything in the trash comes back."""
+    g = view(spark, d, "group_items")
+    return review.restored(g, g, "repo", AS_OF)
 
 
-@query(f"""SELECT id, 'repo/' || folder || '/' || {_NUMBERED} AS new_path FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY exact_hash, id) - 1 AS n FROM
-    (SELECT id, exact_hash, {_folder()} AS folder, {_SAFE.format(x="string_split(target_path, '/')[-1]")} AS name FROM media_items WHERE exact_hash <> ''))""")
+@query(f"""WITH rows_ AS (SELECT id, exact_hash, {_folder()} AS folder, {_NAME} AS name FROM media_items WHERE exact_hash <> ''), taken AS ({_below("group_items", "repo/")}), {_free("suffix", "exact_hash, id")}
+    SELECT id, 'repo/' || folder || '/' || free AS new_path FROM placed""")
 def target_path_plan(spark, d):
-    return dedup.target_paths(view(spark, d, "media_items").where("exact_hash <> ''"), "repo", AS_OF)
+    return dedup.target_paths(view(spark, d, "media_items").where("exact_hash <> ''"), "repo", AS_OF, view(spark, d, "group_items"))
 
 
-@query(f"""SELECT id, 'repo{T}' || folder || '/' || CASE WHEN n > 0 THEN n::VARCHAR || '-' ELSE '' END || name AS trash_path FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) - 1 AS n FROM
-    (SELECT id, CASE WHEN coalesce(group_id, -id) < 0 THEN 'filename-group-' || id::VARCHAR ELSE 'group-' || coalesce(group_id, -id)::VARCHAR END AS folder, string_split(target_path, '/')[-1] AS name
-     FROM group_items WHERE keep_state = 'rejected'))""")
+@query(f"""WITH rows_ AS (SELECT id, CASE WHEN group_id IS NULL THEN 'filename-group-' || id::VARCHAR ELSE 'group-' || group_id::VARCHAR END AS folder, {_NAME} AS name
+      FROM group_items WHERE keep_state = 'rejected' AND NOT contains(target_path, '{T}')), taken AS ({_below("group_items", "repo" + T)}), {_free("prefix", "id")}
+    SELECT id, 'repo{T}' || folder || '/' || free AS trash_path FROM placed""")
 def trash_path_plan(spark, d):
-    return dedup.trash_paths(view(spark, d, "group_items").where("keep_state = 'rejected'"), "repo")
+    g = view(spark, d, "group_items")
+    return dedup.trash_paths(g.where((F.col("keep_state") == "rejected") & ~X.in_trash(F.col("target_path"))), "repo", g)
+
+
+@query("SELECT id, CASE WHEN group_status = 'pending' THEN 'completed' ELSE group_status END AS group_status FROM group_items")
+def pending_completion(spark, d):
+    g = view(spark, d, "group_items")
+    return catalog.completed(g, catalog.pending(g)).select("id", "group_status")
+
+
+_PRUNED = """present AS (SELECT target_path FROM media_items WHERE scan_status = 'present'), kept_ AS (SELECT * FROM group_items WHERE target_path IN (SELECT target_path FROM present)),
+    gone AS (SELECT * FROM group_items WHERE target_path NOT IN (SELECT target_path FROM present)), hit AS (SELECT DISTINCT group_id FROM gone WHERE group_id IS NOT NULL),
+    counts AS (SELECT group_id, count(*) AS n FROM kept_ WHERE group_id IN (SELECT group_id FROM hit) GROUP BY 1)"""
+
+
+@query(f"""WITH {_PRUNED}, grouped AS (SELECT k.*, k.group_id AS g FROM kept_ k JOIN counts c ON c.group_id = k.group_id), {_A4}
+    SELECT k.id, CASE WHEN n = 1 THEN NULL ELSE k.group_id END AS group_id, CASE WHEN n = 1 THEN 'undecided' ELSE keep_state END AS keep_state,
+           CASE WHEN n = 1 THEN false WHEN n > 1 THEN k.id = p.primary_id ELSE is_group_primary END AS is_group_primary
+    FROM kept_ k LEFT JOIN counts c ON c.group_id = k.group_id LEFT JOIN (SELECT * FROM best WHERE r = 1) p ON p.g = k.group_id""")
+def pruned_items(spark, d):
+    return _prune(spark, d)[0].select("id", "group_id", "keep_state", "is_group_primary")
+
+
+@query(f"""WITH {_PRUNED} SELECT exact_hash, size_bytes, status FROM feature_cache f WHERE NOT (EXISTS (SELECT 1 FROM gone g WHERE g.exact_hash = f.exact_hash AND g.size_bytes = f.size_bytes)
+    AND NOT EXISTS (SELECT 1 FROM kept_ k WHERE k.exact_hash = f.exact_hash AND k.size_bytes = f.size_bytes))""")
+def pruned_cache(spark, d):
+    return _prune(spark, d)[1].select("exact_hash", "size_bytes", "status")
+
+
+def _prune(spark, d):
+    listing = view(spark, d, "media_items").where("scan_status = 'present'")
+    return catalog.pruned(view(spark, d, "group_items"), listing, view(spark, d, "feature_cache"))
+
+
+_THUMB = "CASE event_type WHEN 'click' THEN 'jpeg' WHEN 'view' THEN 'bitmap' WHEN 'purchase' THEN 'bitmap16' ELSE 'other' END"
+
+
+@query(f"""WITH thumbs AS (SELECT m.user_id AS item, m.id AS position, m.width, m.height, {_THUMB} AS format, greatest(m.width, m.height) AS edge FROM media_items m JOIN media_raw r USING (id)),
+    ok AS (SELECT *, edge >= 3000 AS big, CASE format WHEN 'bitmap' THEN 3 WHEN 'bitmap16' THEN 2 ELSE 1 END AS f FROM thumbs WHERE format <> 'other')
+    SELECT item, position FROM ok QUALIFY row_number() OVER (PARTITION BY item ORDER BY big DESC, CASE WHEN big THEN edge ELSE -edge END, CASE WHEN big THEN width * height ELSE -width * height END,
+           CASE WHEN big THEN f ELSE -f END, CASE WHEN big THEN position ELSE -position END) = 1""")
+def preview_choice(spark, d):
+    m = view(spark, d, "media_items").join(view(spark, d, "media_raw").select("id", F.expr(_THUMB).alias("format")), "id")
+    return analytics.preview(m.select(F.col("user_id").alias("item"), F.col("id").alias("position"), "width", "height", "format"), 3000)
+
+
+_AGAIN = "CASE WHEN has_points THEN 'ready' ELSE 'no_keypoints' END"
+
+
+@query(f"""SELECT exact_hash, size_bytes, CASE WHEN NOT (status = 'no_keypoints' OR (status = 'ready' AND keypoints < 25)) THEN 'sparse' WHEN has_points AND keypoints % 20 * 2 > keypoints THEN 'retry'
+    WHEN status = 'ready' AND keypoints BETWEEN 1 AND 24 THEN 'none' WHEN status = 'no_keypoints' THEN 'retry' ELSE 'sparse' END AS choice FROM feature_cache""")
+def extraction_choice(spark, d):
+    f = view(spark, d, "feature_cache")
+    choice = X.extraction_choice(F.col("status"), F.col("keypoints"), F.expr(_AGAIN), F.expr("keypoints % 20 * 2"))
+    return f.select("exact_hash", "size_bytes", choice.alias("choice"))
 
 
 _EXIF = "CASE WHEN k % 7 = 0 THEN replace(substr(created_at, 1, 10), '-', ':') || ' ' || substr(created_at, 12, 8) WHEN k % 7 = 1 THEN 'unknown' ELSE '' END"
@@ -513,9 +627,21 @@ def oplog_latest_for_group(spark, d):
     return catalog.latest_operations(view(spark, d, "operations_log"), 4)
 
 
-_DERIVED = """der AS (SELECT p.group_id, p.id AS primary_id, o.id AS other_id, CASE WHEN abs(p.id - o.id) = 1 THEN 'adjacent_id' ELSE 'distant_id' END || CASE WHEN p.mime_type = o.mime_type THEN '_same_type' ELSE '_other_type' END AS category
-    FROM group_items p JOIN group_items o ON p.group_id = o.group_id AND p.is_group_primary AND NOT o.is_group_primary
-    WHERE p.size_bytes >= 5 * o.size_bytes AND greatest(p.width, p.height) >= 2 * greatest(o.width, o.height) AND greatest(p.width, p.height) >= 1200)"""
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '^default', ''), '-[0-9]+$', ''), '_(shotwell|embedded)(_[0-9]+)*$', ''), '_(arw|cr2|dng|jpg|jpeg|png)$', ''), '[^a-z0-9]+', '_', 'g')"
+_DERIVED = f"""stems AS (SELECT *, nullif(regexp_extract(lower(string_split(target_path, '/')[-1]), '^(.+)\\.([^.]+)$', 1), '') AS stem FROM group_items WHERE group_id IS NOT NULL),
+    bare AS (SELECT *, regexp_replace(coalesce(stem, ''), '^[0-9]+-default', 'default') AS s FROM stems),
+    single AS (SELECT group_id FROM stems GROUP BY 1 HAVING count(*) > 1 AND count(*) FILTER (is_group_primary) = 1),
+    fam AS (SELECT *, CASE WHEN contains(s, 'shotwell') THEN 'default_shotwell' WHEN contains(s, 'embedded') THEN 'default_embedded'
+        WHEN regexp_matches(s, '^default([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{8}}[-_][0-9]{{6}})') THEN 'default_timestamp' WHEN regexp_matches(s, '^default[0-9a-f]{{32}}$') THEN 'default_hash'
+        WHEN regexp_matches(s, '^default_?(img|dsc|mg)[a-z]?_?[0-9]') THEN 'default_camera' WHEN starts_with(s, 'default') THEN 'default_other' WHEN regexp_matches(s, '^[0-9]{{8}}-[0-9]{{6}}') THEN 'timestamp_rendition' END AS family FROM bare),
+    met AS (SELECT p.group_id, p.id AS primary_id, o.id AS other_id, o.family, p.s AS ps, o.s AS os, {_PLAIN.format(x="p.s")} AS pp, {_PLAIN.format(x="o.s")} AS op, regexp_replace(p.s, '[^a-z0-9]+', '_', 'g') AS pu,
+               regexp_replace(p.s, '[^0-9]', '', 'g') AS pd, substr(regexp_replace(o.s, '[^0-9]', '', 'g'), 1, 14) AS stamp
+        FROM fam p JOIN fam o ON p.group_id = o.group_id AND p.is_group_primary AND NOT o.is_group_primary AND o.family IS NOT NULL AND p.group_id IN (SELECT group_id FROM single)
+        WHERE p.size_bytes >= 5 * o.size_bytes AND greatest(p.width, p.height) >= 2 * greatest(o.width, o.height) AND greatest(p.width, p.height) >= 1200),
+    numbers AS (SELECT *, regexp_extract(pp, '([0-9]{{3,18}})[^0-9]*$', 1) AS a, CASE WHEN family = 'timestamp_rendition' THEN substr(stamp, 9, 6) ELSE regexp_extract(op, '([0-9]{{3,18}})[^0-9]*$', 1) END AS b FROM met),
+    der AS (SELECT group_id, primary_id, other_id, concat_ws(':', family, CASE WHEN family = 'timestamp_rendition' AND starts_with(pu, replace(substr(os, 1, 15), '-', '_')) OR family <> 'timestamp_rendition' AND pu = op THEN 'same_core'
+        WHEN family = 'timestamp_rendition' AND contains(pd, stamp) OR family <> 'timestamp_rendition' AND a = b AND a <> '' THEN 'same_id'
+        WHEN abs(try_cast(a AS BIGINT) - try_cast(b AS BIGINT)) = 1 THEN 'adjacent_id' WHEN family NOT IN ('timestamp_rendition', 'default_timestamp') THEN 'other' END) AS category FROM numbers)"""
 
 
 @query(f"WITH {_DERIVED} SELECT group_id, primary_id, other_id, category FROM der")

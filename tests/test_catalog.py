@@ -137,7 +137,7 @@ def test_paging():
 
 def test_rejecting_moves_to_the_groups_trash(spark):
     rows = [(1, "repo/2024/06/09/keep-a.png", 42, "undecided"), (2, "repo/2024/06/09/reject-a.png", 42, "undecided"), (3, "repo/2024/06/09/keep-b.png", 43, "kept")]
-    members = spark.createDataFrame(rows, "id long, target_path string, group_id long, keep_state string")
+    members = spark.createDataFrame([(*r, False) for r in rows], "id long, target_path string, group_id long, keep_state string, is_group_primary boolean")
     said = spark.createDataFrame([(42, ["repo/2024/06/09/keep-a.png"], ["repo/2024/06/09/reject-a.png"])], "group_id long, kept array<string>, rejected array<string>")
     got = {r.id: (r.target_path, r.keep_state) for r in review.decided(members, said, "repo").collect()}
     assert got[2] == (f"repo{X.TRASH}group-42/reject-a.png", "rejected") and got[1][1] == "kept" and got[3] == ("repo/2024/06/09/keep-b.png", "kept")
@@ -262,3 +262,73 @@ def test_name_review_leaves_out_grouped_rows(spark):
     rows = [(1, "repo/IMG_1.JPG", None), (2, "repo/defaultimg_1-2.jpg", 5), (3, "repo/.catalog/trash/group-1/IMG_1.JPG", None), (4, "repo/.catalog/trash/filename-group-9/IMG_1.JPG", None)]
     df = spark.createDataFrame([(i, p, g, 4, 3) for i, p, g in rows], "id long, target_path string, group_id long, width int, height int")
     assert sorted(r.id for r in families.candidates(df).collect()) == [1, 4]
+
+
+def _named(spark, rows, taken, style="suffix"):
+    from curatrix.operators import naming
+
+    df = spark.createDataFrame([(i, f, n) for i, (f, n) in enumerate(rows)], "id long, folder string, name string")
+    held = spark.createDataFrame(taken, "folder string, name string") if taken else None
+    return [r.free for r in naming.freed(df, held, ["id"], style).orderBy("id").collect()]
+
+
+def test_names_that_meet_are_numbered(spark):
+    assert _named(spark, [("d", "a.jpg"), ("d", "a.jpg"), ("d", "a-1.jpg"), ("e", "a.jpg")], None) == ["a.jpg", "a-2.jpg", "a-1.jpg", "a.jpg"]
+    taken = [("d", "a.jpg"), ("d", "a-2.jpg"), ("d", "a-2.jpg"), ("d", "a-04.jpg")]
+    assert _named(spark, [("d", "a.jpg")] * 4, taken) == ["a-1.jpg", "a-3.jpg", "a-4.jpg", "a-5.jpg"]
+    assert _named(spark, [("d", ".x"), ("d", ".x"), ("d", "n"), ("d", "n"), ("d", "b.c.d"), ("d", "b.c.d"), ("d", "b.c-1.d")], None) == [".x", ".x-1", "n", "n-1", "b.c.d", "b.c-2.d", "b.c-1.d"]
+    assert _named(spark, [("d", "a"), ("d", "a"), ("d", "1-a"), ("d", "1-a")], [("d", "3-a"), ("d", "1-1-a")], "prefix") == ["a", "2-a", "1-a", "2-1-a"]
+
+
+def test_free_names_are_free_on_random_names(spark):
+    import random
+
+    rnd = random.Random(5)
+    for style in ("suffix", "prefix"):
+        rows = [(rnd.choice("de"), rnd.choice(["a.b", "a", "a-1.b", "a-2.b", "1-a", "2-a", "a-1", "a-1-1.b", "1-1-a"])) for _ in range(60)]
+        taken = [(rnd.choice("de"), rnd.choice(["a.b", "a", "a-3.b", "a-5.b", "a-12.b", "3-a", "4-a"])) for _ in range(10)]
+        out = [(f, x) for (f, _), x in zip(rows, _named(spark, rows, taken, style))]
+        assert len(set(out)) == len(out) and not set(out) & set(taken)
+        firsts = {r for r in rows if r not in set(taken)}
+        assert firsts <= set(out)
+
+
+def test_decisions_set_states_primaries_and_paths(spark):
+    rows = [(1, "r/a", 7, "undecided", True), (2, "r/b", 7, "kept", False), (3, "r/c", 7, "kept", False), (4, "r/x/b", 7, "undecided", False), (5, "r/a5", 8, "kept", True), (6, "r/a6", 9, "kept", False)]
+    members = spark.createDataFrame(rows, "id long, target_path string, group_id long, keep_state string, is_group_primary boolean")
+    said = [(7, ["r/a", "r/c"], ["r/b", "r/x/b"], "r/c"), (8, ["r/a5"], [], "r/a5"), (9, [], ["r/a6"], "r/a6"), (10, ["r/q"], [], None)]
+    d = spark.createDataFrame(said, "group_id long, kept array<string>, rejected array<string>, primary string")
+    assert {r.group_id: (r.outcome, r.n_changed) for r in review.resolved(members, d).collect()} == {7: ("applied", 4), 8: ("skipped", 0), 9: ("failed", 0), 10: ("failed", 0)}
+    got = {r.id: (r.target_path, r.keep_state, r.is_group_primary) for r in review.decided(members, d, "r").collect()}
+    t = f"r{X.TRASH}group-7/"
+    assert got == {1: ("r/a", "kept", False), 2: (t + "b", "rejected", False), 3: ("r/c", "kept", True), 4: (t + "1-b", "rejected", False), 5: ("r/a5", "kept", True), 6: ("r/a6", "kept", False)}
+
+
+def test_categories_of_derived_names(spark):
+    from curatrix.operators import analytics
+
+    # Published sample pairs and their categories.
+    want = {
+        ("img_5793.cr2", "defaultimg_5793-2.cr2"): "default_camera:same_core", ("dpp_0195.jpg", "defaultdpp_0195-2.jpg"): "default_other:same_core",
+        ("img_20200305_144300.jpg", "20200305-144300-2.jpg"): "timestamp_rendition:same_id", ("20240827-185647747.jpg", "20240827-185647-2.jpg"): "timestamp_rendition:same_core",
+        ("img_5526.cr2", "20130828-180646-2.jpg"): "timestamp_rendition", ("img_5808.cr2", "defaultimg_5808_cr2_embedded.jpg"): "default_embedded:same_core",
+        ("img_1823.cr2", "1-defaultimg_1823_cr2_shotwell.jpg"): "default_shotwell:same_core", ("20240330-190001441.arw", "defaultdsc00984.jpg"): "default_camera:other",
+        ("2013-01-12 13.22.49.jpg", "default2013-01-12_13.22.49.jpg"): "default_timestamp:same_core", ("dsc00758.arw", "defaultdsc00759.arw"): "default_camera:adjacent_id",
+        ("img_5712.jpg", "defaultnwub8621.jpeg"): "default_other:other", ("img_2015_cr2_shotwell.jpg", "defaultimg_2014_cr2_embedded.jpg"): "default_embedded:adjacent_id",
+        ("img_20180512_205810_0496.jpg", "defaultimg_0496-3.jpg"): "default_camera:same_id", ("img_5568_cr2_embedded.jpg", "defaultimg_5568_dng_shotwell_2_1.jpg"): "default_shotwell:same_id",
+        ("2013-02-15 15.08.53.jpg", "default2013-02-15_15.09.18.jpg"): "default_timestamp", ("img_0595.jpg", "defaultf2616d111110c1aa212ce1f0b57e5996.jpg"): "default_hash:other",
+    }
+    rows = []
+    for g, (p, o) in enumerate(want):
+        rows += [(2 * g, g, f"r/{p}", True, 1000, 4000, 3000), (2 * g + 1, g, f"r/{o}", False, 10, 400, 300)]
+    rows += [(100, 50, "r/defaultimg_1.jpg", False, 10, 400, 300), (101, 50, "r/img_1.jpg", True, 1000, 4000, 3000), (102, 50, "r/img_2.jpg", True, 1000, 4000, 3000)]
+    df = spark.createDataFrame(rows, "id long, group_id long, target_path string, is_group_primary boolean, size_bytes long, width int, height int")
+    got = {r.group_id: r.category for r in analytics.derived_pairs(df).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
+def test_trash_variants_keep_natural_numbers(spark):
+    t = f"r{X.TRASH}group-1/"
+    members = spark.createDataFrame([(1, "r/1-a b.jpg", 1), (2, "r/c.jpg", 1), (3, "r/here.jpg", 1)], "id long, target_path string, group_id long")
+    listing = spark.createDataFrame([(t + "1-a_b.jpg",), (t + "2-c.jpg",), (t + "1-c.jpg",), ("r/here.jpg",)], "target_path string")
+    assert {r.id: r.trash_path for r in review.trash_variants(members, listing, "r").collect()} == {1: t + "1-a_b.jpg", 2: t + "1-c.jpg"}
