@@ -61,7 +61,9 @@ def hamming_pairs(items: DataFrame, most: int, method: str = "auto") -> DataFram
     left = items.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("exact_hash").alias("xa"), bits.alias("na"))
     right = items.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("exact_hash").alias("xb"), bits.alias("nb"))
     distance = X.hamming(F.col("ha"), F.col("hb"))
-    wanted = (F.col("a") < F.col("b")) & (F.col("na") == F.col("nb")) & (distance <= most) & ~F.coalesce(F.col("xa") == F.col("xb"), F.lit(False))
+    wanted = (F.col("a") < F.col("b")) & (distance <= most) & ~F.coalesce(F.col("xa") == F.col("xb"), F.lit(False))
+    if "phash_bits" in items.columns:
+        wanted = wanted & (F.col("na") == F.col("nb"))
     if method == "whole" or method == "auto" and items.count() <= WHOLE:
         return left.join(F.broadcast(right), wanted).select("a", "b", distance.cast("int").alias("distance"))
     band = lambda h, n: F.shiftrightunsigned(h, 16 * n).bitwiseAND(F.lit(0xFFFF))
