@@ -582,7 +582,7 @@ def loose_datetime(spark, d):
     text = """case k % 6 when 0 then substr(created_at, 1, 19) when 1 then replace(substr(created_at, 1, 19), 'T', ' ') when 2 then substr(created_at, 1, 10)
         when 3 then replace(substr(created_at, 1, 10), '-', ':') || ' 01:02:03' when 4 then 'no time' else '' end"""
     m = view(spark, d, "media_items").where("created_at <> ''").withColumn("t", F.expr(text))
-    return m.select("id", X.rfc3339(X.loose_time(F.col("t"))).alias("loose"), X.rfc3339(X.quicktime_time(F.col("id") * 100000)).alias("quicktime"), X.rfc3339(X.matroska_time(F.col("id") * F.lit(1_000_000_000_000))).alias("matroska"))
+    return m.select("id", X.rfc3339(X.loose_time(F.col("t"))).alias("loose"), X.rfc3339(X.quicktime_time(F.col("id") * 100000)).alias("quicktime"), X.rfc3339(X.matroska_time(F.col("id").cast("decimal(20,0)") * F.lit(1_000_000_000_000))).alias("matroska"))
 
 
 _EXT = """WHEN 'mov' THEN 'video/quicktime' WHEN 'qt' THEN 'video/quicktime' WHEN 'mp4' THEN 'video/mp4' WHEN 'm4v' THEN 'video/mp4' WHEN '3gp' THEN 'video/3gpp' WHEN '3g2' THEN 'video/3gpp2'
