@@ -116,6 +116,25 @@ def test_indexed_pairs_are_all_pairs(spark):
     assert whole == index and len(whole) > 50
 
 
+def test_hashes_meet_in_blocks(spark):
+    """Widths, equal, unknown and empty contents and repeated ids give the same pairs either way, and hashes aren't dealt out under their variants."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    rows = [(i // 2 if i % 9 == 0 else i, (base[i % 20] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6)))) - 2**63 if i % 3 else base[i % 20] - 2**63, rng.choice([None, "", "x", "y"]), rng.choice([64, 256, 0])) for i in range(160)]
+    df = spark.createDataFrame([*rows, (1000, None, "x", 64)], "id long, h long, exact_hash string, phash_bits int")
+    sc = spark.sparkContext
+    sc.setJobGroup("blocks", "")
+    whole, index = (sorted(map(tuple, similar.hamming_pairs(df, 14, m).collect())) for m in ("whole", "index"))
+    assert whole == index and len(whole) > 100
+    sc.setJobGroup("dealt", "")
+    similar.hamming_pairs(df.select("id", "h"), 14, "index").collect()
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("dealt") for s in tracker.getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    written = [store.lastStageAttempt(s).shuffleWriteRecords() for s in stages]
+    assert 0 < sum(written) < 160 * 100
+
+
 def test_family_links_have_the_edges_components(spark):
     rng = random.Random(8)
     rows = [(i, f"r/{rng.choice(['img_%d', 'defaultimg_%d-2', '1-defaultimg_%d_cr2'])}.jpg" % rng.randrange(25), rng.choice([100, 200]), 150, rng.choice([None, "a", "b"])) for i in range(120)]
