@@ -309,7 +309,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 
 def one_of_each(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """docs without near duplicates: of each class the row of the smallest doc_id stays; rows without words or id stay."""
-    found = C.materialize(classes(docs, least=least), "near-kept")
+    found = C.alone(lambda: classes(docs, least=least), "near-kept")
     kept = found.where("doc_id = class_id").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi")
     repeated = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count()

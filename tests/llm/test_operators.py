@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from curatrix.llm import lines, minhash, mixing, neighbours, pieces, pii, quality, queries, secrets, store, toxicity
+from curatrix.sources import tables
 from tests.compare import check
 
 SF = "/root/testdata/sf0.001"
@@ -363,6 +365,18 @@ def test_documents_with_own_short_lines_stay(spark):
     assert got == {1: footer, 2: "a table\nof its own"}
 
 
+def test_only_results_stay_in_the_shared_folder(spark):
+    """What line and near-duplicate removal make on the way to their results is gone when they are done."""
+    folder = f"{tables.shared_dir(spark).removeprefix('file:')}/curatrix"
+    made = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    text = "one two three four five six seven eight nine ten"
+    docs = frame(spark, [(i, f"{text} {i}\nthe same footer of five words\nown {i}", "a") for i in range(1, 9)])
+    before = made()
+    lines.dedupe(docs).count()
+    minhash.one_of_each(docs).count()
+    assert sorted(x.rsplit("-", 1)[0] for x in made() - before) == ["line-dropped", "near-kept"]
+
+
 def test_simhash_votes(spark):
     words = [f"w{i}" for i in range(300)]
     hashes = [r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
