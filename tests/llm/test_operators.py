@@ -386,6 +386,22 @@ def test_simhash_votes(spark):
     assert got == {n: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes[:n]) > n) for n in sizes}
 
 
+def test_blocks_of_the_same_lines_are_held_once(spark, monkeypatch):
+    """Two lines with a long passage in common share many blocks, which all lead to one pair."""
+    held = {}
+    make = lines.C.materialize
+    monkeypatch.setattr(lines.C, "materialize", lambda df, tag, *a, **k: held.setdefault(tag, make(df, tag, *a, **k)) if tag == "line-blocks" else make(df, tag, *a, **k))
+    monkeypatch.setattr(lines.C, "discard", lambda *frames: None)
+    rng = random.Random(26)
+    word = lambda n=5: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = " ".join(word() for _ in range(20))
+    texts_ = [f"{passage} {' '.join(word() for _ in range(6))}" for _ in range(2)]
+    norms = spark.createDataFrame([(x,) for x in texts_], "norm string").select(F.unhex(F.md5(F.col("norm").cast("binary"))).alias("line"), F.xxhash64("norm").alias("h"), "norm", F.lit(None).cast("string").alias("apart"), F.lit(True).alias("long"))
+    assert len({r.label for r in lines.groups(norms).collect()}) == 2
+    n = held["line-blocks"].groupBy("key").count().count()
+    assert 1 <= n <= 2 < lines.keys(norms).groupBy("key").count().where("count > 1").count()  # one in each grid of sizes at most
+
+
 def similar_lines(texts_, least=lines.SIMILAR):
     """All pairs of different normalised lines of 5 words or 20 characters and more by edit similarity; sizes and pair counts rule most out."""
     import duckdb
