@@ -402,6 +402,17 @@ def test_blocks_of_the_same_lines_are_held_once(spark, monkeypatch):
     assert 1 <= n <= 2 < lines.keys(norms).groupBy("key").count().where("count > 1").count()  # one in each grid of sizes at most
 
 
+def test_blocks_are_made_and_dealt_out_once(spark, monkeypatch):
+    """One scan of the lines and one exchange of their blocks lead to the table of those that lines share."""
+    plans = {}
+    make = lines.C.materialize
+    monkeypatch.setattr(lines.C, "materialize", lambda df, tag, *a, **k: plans.setdefault(tag, df._jdf.queryExecution().sparkPlan().toString()) and make(df, tag, *a, **k))
+    text = "one two three four five six seven eight nine ten"
+    docs = frame(spark, [(i, f"{text} {i}", "a") for i in range(1, 6)])
+    assert {r.doc_id: r.places for r in lines.dropped(docs).collect()} == {i: [0] for i in range(2, 6)}
+    assert plans["line-held"].count("Generate explode(blocks") == 1 and plans["line-held"].count("Join") == 0
+
+
 def similar_lines(texts_, least=lines.SIMILAR):
     """All pairs of different normalised lines of 5 words or 20 characters and more by edit similarity; sizes and pair counts rule most out."""
     import duckdb
