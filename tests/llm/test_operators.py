@@ -413,6 +413,34 @@ def test_blocks_are_made_and_dealt_out_once(spark, monkeypatch):
     assert plans["line-held"].count("Generate explode(blocks") == 1 and plans["line-held"].count("Join") == 0
 
 
+def test_long_lines_have_all_blocks(spark):
+    """Copies whose edits leave one run of a long line whole are found by that run, whichever it is."""
+    rng = random.Random(33)
+    rows, left = [], []
+    for i in range(16):
+        own = " ".join("".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(80))
+        other, skip = list(own), 6 * rng.randrange(2, 75)
+        for k in [*range(skip - 1, 0, -14), *range(skip + 20, len(own), 14)]:
+            other[k - (other[k] == " ")] = rng.choice("nopqrstuvwxyz")
+        other = "".join(other)
+        rows += [(2 * i, own, "a"), (2 * i + 1, other, "a")]
+        left.append(sum(own[k : k + 16] == other[k : k + 16] for k in range(0, len(own) - 15, 6)))
+    assert set(left) <= {1, 2} and linked(rows) == {2 * i + 1: {0} for i in range(16)}
+    assert {r.doc_id: set(r.places) for r in lines.dropped(frame(spark, rows)).collect()} == linked(rows)
+
+
+def test_ranges_of_sizes_lose_no_link(spark, monkeypatch):
+    """Blocks dealt out in ranges of sizes lead to the groups that those of the whole table do."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    told = lambda: {(r.doc_id, tuple(r.places)) for r in lines.dropped(docs).collect()}
+    whole = told()
+    held = []
+    make = lines._held
+    monkeypatch.setattr(lines, "WHOLE", 0)
+    monkeypatch.setattr(lines, "_held", lambda fuzzy, width, low, high: held.append((low, high)) or make(fuzzy, width, low, high))
+    assert told() == whole and len(whole) > 20 and len(held) == lines.RANGES
+
+
 def similar_lines(texts_, least=lines.SIMILAR):
     """All pairs of different normalised lines of 5 words or 20 characters and more by edit similarity; sizes and pair counts rule most out."""
     import duckdb
