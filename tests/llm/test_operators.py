@@ -441,6 +441,40 @@ def test_ranges_of_sizes_lose_no_link(spark, monkeypatch):
     assert told() == whole and len(whole) > 20 and len(held) == lines.RANGES
 
 
+def test_blocks_at_far_places_make_no_pair(spark, monkeypatch):
+    """Lines that share a phrase at places further apart than edits of a link can move it aren't compared; those with it in one place are."""
+    pairs = []
+    make = lines.C.materialize
+    monkeypatch.setattr(lines.C, "materialize", lambda df, tag, *a, **k: pairs.append(df.count()) or make(df, tag, *a, **k) if tag == "line-pairs" else make(df, tag, *a, **k))
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    phrase = " ".join(word() for _ in range(5))
+    own = [[word() for _ in range(40)] for _ in range(3)]
+    at = lambda ws, k: " ".join([*ws[:k], phrase, *ws[k:]])
+    far = [(1, at(own[0], 2), "a"), (2, at(own[1], 35), "a")]
+    assert lines.dropped(frame(spark, far)).count() == 0 and pairs and not any(pairs)
+    pairs.clear()
+    near = [*far, (3, at(own[0], 2).replace("a", "", 3), "a"), (4, at(own[1], 35).replace("e", "xx", 4), "a")]
+    assert {r.doc_id: set(r.places) for r in lines.dropped(frame(spark, near)).collect()} == linked(near) == {3: {0}, 4: {0}}
+    assert pairs[0] == 2
+
+
+def test_places_of_blocks_are_within_their_bounds(spark):
+    """Every block of a line is found, in the slice where it begins; those of texts taken apart may be anywhere."""
+    rng = random.Random(42)
+    texts_ = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(n)) for n in (1, 3, 7, 12, 20, 26, 40, 90, 400)]
+    rows = [(i, t, None) for i, t in enumerate(texts_)] + [(99, "我们今天", "我 们 今 天")]
+    got = {(r.h, r.key, r.spot) for r in lines.keys(spark.createDataFrame(rows, "h long, norm string, apart string")).collect()}
+    want = []
+    for i, t, apart in rows:
+        x = apart or t
+        wide = max(8, -(-len(x) // lines.SLICES))
+        starts = [k for k in range(len(x)) if k == 0 or x[k - 1] == " "]
+        want += [(i, x[k : k + run], len(t) * 32 + (31 if apart else k // wide)) for run, least, most in lines.RUNS if least <= len(x) <= most for k in starts if k + run <= len(x)]
+    keyed = spark.createDataFrame(want, "h long, block string, spot long").select("h", F.xxhash64("block").alias("key"), "spot").collect()
+    assert got == {(r.h, r.key, r.spot) for r in keyed} and len(got) > 300
+
+
 def similar_lines(texts_, least=lines.SIMILAR):
     """All pairs of different normalised lines of 5 words or 20 characters and more by edit similarity; sizes and pair counts rule most out."""
     import duckdb
