@@ -311,7 +311,8 @@ def one_of_each(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """docs without near duplicates: of each class the row of the smallest doc_id stays; rows without words or id stay."""
     found = C.alone(lambda: classes(docs, least=least), "near-kept")
     kept = found.where("doc_id = class_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
+    # the same join whatever the size of kept: what is dealt out grows with the texts
+    out = docs.join(kept.hint("merge"), "doc_id", "left_semi")
     repeated = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
         from pyspark.sql import Window as W

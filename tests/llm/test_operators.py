@@ -475,6 +475,14 @@ def test_places_of_blocks_are_within_their_bounds(spark):
     assert got == {(r.h, r.key, r.spot) for r in keyed} and len(got) > 300
 
 
+def test_texts_are_dealt_out_at_any_size(spark):
+    """Few documents that lose lines or stay don't change the join with the texts, so that what it deals out grows with the input."""
+    docs = frame(spark, [(i, f"one two three four five six seven\nown line {i}", "a") for i in range(1, 6)])
+    for out in (lines.dedupe(docs), minhash.one_of_each(docs)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def similar_lines(texts_, least=lines.SIMILAR):
     """All pairs of different normalised lines of 5 words or 20 characters and more by edit similarity; sizes and pair counts rule most out."""
     import duckdb
