@@ -475,6 +475,21 @@ def test_places_of_blocks_are_within_their_bounds(spark):
     assert got == {(r.h, r.key, r.spot) for r in keyed} and len(got) > 300
 
 
+def test_parts_of_pairs_lose_none(spark, monkeypatch):
+    """Pairs that meet their texts in parts have the edits that they have at once."""
+    monkeypatch.setattr(lines, "PAIRS", 0)
+    made = []
+    make = lines.C.materialize
+    monkeypatch.setattr(lines.C, "materialize", lambda df, tag, *a, **k: made.append(tag) or make(df, tag, *a, **k))
+    norms = [f"one two three four five six seven eight {i}" for i in range(12)] + ["nothing like the others at all"]
+    texts_ = spark.createDataFrame([(i, bytes([i]), x) for i, x in enumerate(norms)], "h long, line binary, norm string")
+    pairs = spark.createDataFrame([(i, k) for i in range(13) for k in range(i)], "a long, b long")
+    got = {(r.a, r.b): r.edits for r in lines._verified(pairs, texts_, lines.SIMILAR).collect()}
+    most = lambda x, y: int(max(len(x), len(y)) * 0.1 + 1e-9)
+    assert got == {(i, k): e if (e := edits(norms[i], norms[k])) <= most(norms[i], norms[k]) else None for i in range(13) for k in range(i)}
+    assert made.count("line-part") == lines.PARTS and None in got.values()
+
+
 def test_texts_are_dealt_out_at_any_size(spark):
     """Few documents that lose lines or stay don't change the join with the texts, so that what it deals out grows with the input."""
     docs = frame(spark, [(i, f"one two three four five six seven\nown line {i}", "a") for i in range(1, 6)])
