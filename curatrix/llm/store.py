@@ -30,6 +30,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,65 +67,49 @@ class Encoder(dict):
 
     Byte-level BPE never merges across pretokens.  Texts of Latin letters and plain blanks are cut
     into pretokens here, others are left to the library as a whole.  So are texts that hold a special token's
-    characters: by default the library takes them for the token, with ``special`` false for plain text.
+    characters: by default the library takes them for the token, with ``special`` false for plain text; and all texts of models that normalise.
     """
 
     def __init__(self, model: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(model)
         self.tokenizer.encode_special_tokens = not special
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # for texts that are one pretoken each: the same tokenizer without the cutting
-        self.plain = Tokenizer.from_file(model)
-        self.plain.encode_special_tokens = True
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole = self.tokenizer.normalizer is not None
+        # a pretoken goes to the merges alone, its bytes as the characters that byte-level models have for them
+        self.merged = self.tokenizer.model.tokenize
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*own}))}
+        self.letters = "".join(others.get(b, chr(b)) for b in range(256))
         self.older: dict[str, bytes] = {}
         letters, digits = _class("L"), _class("N")
         self.cut = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{digits}]+| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+").findall
         self.unknown = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]").search
 
     def odd(self, text: str) -> bool:
-        return bool(self.unknown(text)) or any(s in text for s in self.special)
+        return self.whole or bool(self.unknown(text)) or any(s in text for s in self.special)
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, tokens: list[str]) -> None:
-        """Remembers the ids of pretokens, those from before or else the library's, encoded together."""
-        new = []
-        for token in tokens:
-            found = self.older.get(token)
-            if found is None:
-                new.append(token)
-            else:
-                self[token] = found
-        for token, found in zip(new, self.plain.encode_batch_fast(new, add_special_tokens=False)):
-            self[token] = array("I", found.ids).tobytes()
+    def __missing__(self, token: str) -> bytes:
+        """The ids of a pretoken from before or else the library's, from now on remembered."""
+        found = self.older.get(token)
+        if found is None:
+            found = array("I", [t.id for t in self.merged(charmap_decode(token.encode(), "strict", self.letters)[0])]).tobytes()
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[token] = found
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of some texts."""
-        get = self.get
-        cut = [None if not t or self.odd(t) else self.cut(t) for t in texts]
-        known = [None if tokens is None else list(map(get, tokens)) for tokens in cut]
-        missing = [None if tokens is None else [t for t, ids in zip(tokens, found) if ids is None] for tokens, found in zip(cut, known)]
-        need = list(dict.fromkeys(t for tokens in missing if tokens for t in tokens))
-        if len(self) + len(need) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self.learn(need)
-        out = []
-        for t, found, tokens in zip(texts, known, missing):
-            if found is None:
-                out.append(self.ids(t) if t else b"")
-                continue
-            if tokens:
-                learnt = map(self.__getitem__, tokens)
-                found = [next(learnt) if ids is None else ids for ids in found]
-            out.append(b"".join(found))
-        return out
+        look = self.__getitem__
+        return [b"" if not t else self.ids(t) if self.odd(t) else b"".join(map(look, self.cut(t))) for t in texts]
 
 
 @lru_cache(maxsize=2)
