@@ -715,3 +715,25 @@ def test_pipeline(spark, none):
     assert 0 < kept.count() and kept.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_shuffles_of_the_last_table_go(spark):
+    """The files that a table was dealt out by go when it is let go, though its query was the last one."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        names = [files.apply(k).getName() for k in range(files.length())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    for k in range(3):
+        before = held()
+        made = tables.materialize(spark.range(1000).groupBy((F.col("id") % (7 + k)).alias("x")).agg(F.sum("id").alias("y")), "test-dealt")
+        new = held() - before
+        assert new
+        tables.let_go(made)
+        until = time.time() + 10
+        while held() & new and time.time() < until:
+            time.sleep(0.1)
+        assert not held() & new
+        tables.discard(made)
